@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.licenses import op4_licenses
 from palimpsest.llm.media import op5_media
 from palimpsest.llm.mixing import op8_mixing
 from palimpsest.llm.packing import op9_packing
 from palimpsest.llm.sharding import op7_sharding
+from palimpsest.llm.topk import OP3_SQL, op3_topk
 from palimpsest.llm.warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_topk": op3_topk,
+    "op4_licenses": op4_licenses,
     "op5_media": op5_media,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
@@ -20,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL}
