@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.jaccard import op10_jaccard
 from palimpsest.llm.language import op1_language
 from palimpsest.llm.licenses import op4_licenses
 from palimpsest.llm.media import op5_media
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES: dict[str, str] = {"op3_topk": OP3_SQL}
