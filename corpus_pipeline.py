@@ -4,11 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from palimpsest.llm import jaccard, language, mixing, packing, quality
 from palimpsest.workspace import stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: A document stays if its language is as sure as this, and its quality this high.
+LEAST_LANGUAGE, LEAST_QUALITY = 0.4, 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter go, and those whose best language isn't sure."""
+    found = language.identify(docs, language.learned(docs), keep=docs.columns, names=("__lang", "__sure"))
+    return found.where((F.col("__lang") != "und") & (F.col("__sure") >= LEAST_LANGUAGE)).drop("__lang", "__sure")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose lines the field marks as bad, by their length."""
+    found = quality.score(docs, quality.learned(spark, docs, sf_dir), keep=docs.columns, name="__quality")
+    return found.where(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.9 or more join, directly or through others, the one with the smallest id stays.
+
+    Rows that share an id are one document, whose smallest text stays; rows without an id can't be told apart and go.
+    """
+    found = stored(spark, jaccard.jaccard_components(spark, docs), "components")
+    gone = stored(spark, found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_IDS else gone
+    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        first = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return kept
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source's words as near to its target as blocks allow: repeated, whole or in part."""
+    return mixing.mixed_rows(spark, docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of up to 2048 ids: a row per piece, with its ids."""
+    return packing.pack_sequences(docs, packing.tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("mix", mixed),
+    ("pack", packed),
+]
 
 #: Its models and tokens can't be told in SQL; the tests hold every stage against a plain version.
 ORACLE_SQL = None

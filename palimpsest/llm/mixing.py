@@ -5,11 +5,15 @@ from __future__ import annotations
 import heapq
 import math
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.arrow import steps, utf8
 from palimpsest.operators.ordering import with_running_totals
 from palimpsest.workspace import stored
 
@@ -110,6 +114,7 @@ def mix_sources(
     shards: int = SHARDS,
     weights: tuple[int, ...] = WEIGHTS,
     repeats: int = REPEATS,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Which words of every document a mix of the sources takes.
 
@@ -124,19 +129,18 @@ def mix_sources(
 
     A null text has no words; a null source is a source of its own, last in
     order. Rows that repeat count each on their own. A source without words has target
-    0. An empty table gives no rows, and other columns are ignored.
+    0. An empty table gives no rows. Other columns are ignored, but for those that ``carry`` names: they go
+    along as the struct ``row``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = stored(
-        spark,
-        docs.select(
-            id_col,
-            F.col(source_col).alias("source"),
-            F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("_at"),
-        ),
-        "sizes",
+    narrow = docs.select(
+        id_col,
+        F.col(source_col).alias("source"),
+        F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("_at"),
+        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []),
     )
+    narrow = narrow if carry else stored(spark, narrow, "sizes")
     sizes = {r["source"]: r["n"] for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     block, quotas = plan(sizes, seed, shards, weights, repeats)
     table = spark.createDataFrame(
@@ -155,7 +159,55 @@ def mix_sources(
               b -> struct(greatest(b * {block}, before) - before AS begin, least((b + 1) * {block}, _end) - before AS end)))"""
     )
     taken = F.expr("passes * size + aggregate(spans, 0L, (sum, x) -> sum + x.end - x.begin)")
-    return placed.withColumn("spans", spans).select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans")
+    return placed.withColumn("spans", spans).select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans", *(["row"] if carry else []))
+
+
+def mixed_rows(spark: SparkSession, docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as whole passes use it, then a row for each run of words of the last pass.
+
+    Such a row's text goes from the run's first word to its last, and ``length_col``, where there is one, is its length.
+    """
+    columns = docs.columns
+    found = mix_sources(spark, docs, text_col=text_col, carry=tuple(columns), **options).select("passes", "spans", *(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(columns)))
+    text, length = f"c{columns.index(text_col)}", f"c{columns.index(length_col)}" if length_col in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text):
+            data, ends = utf8(batch.column(text))
+            blank = np.isin(data, np.frombuffer(b" \t\n\v\f\r", np.uint8))
+            edge = np.ones(len(data), bool)
+            edge[1:] = blank[:-1]
+            edge[ends[:-1][ends[:-1] < len(data)]] = True
+            begin = np.flatnonzero(edge & ~blank)
+            stop = np.append(np.flatnonzero(blank), len(data))
+            raw, rows, texts = data.tobytes(), [], []
+            first = np.searchsorted(begin, ends)
+            whole = batch.column(text).to_pylist()
+            for k, (passes, spans) in enumerate(zip(batch.column("passes").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                rows += [k] * passes
+                texts += [whole[k]] * passes
+                runs: list[list[int]] = []
+                for span in spans:
+                    if runs and runs[-1][1] == span["begin"]:
+                        runs[-1][1] = span["end"]
+                    else:
+                        runs.append([span["begin"], span["end"]])
+                for a, b in runs:
+                    last = begin[first[k] + b - 1]
+                    to = min(int(stop[np.searchsorted(stop, last)]), int(ends[k + 1]))
+                    rows.append(k)
+                    texts.append(raw[begin[first[k] + a] : to].decode())
+            if rows:
+                out = batch.take(pa.array(rows)).select(names)
+                out = out.set_column(names.index(text), text, pa.array(texts, out.schema.field(text).type))
+                if length:
+                    sizes = [None if x is None else len(x) for x in texts]
+                    out = out.set_column(names.index(length), length, pa.array(sizes, out.schema.field(length).type))
+                yield out
+
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
+    return found.mapInArrow(run, schema).toDF(*columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
