@@ -21,6 +21,10 @@ WORDS, PERCENT, ORDERS = 3, 90, 2
 #: Counters of each order, of which a row of the sketch holds so many.
 COUNTERS, CHUNK = 1 << 19, 1 << 12
 
+#: Bits of a set's signature, as 64-bit numbers: each tells whether an odd number of its shingles falls there.
+PARITIES = 8
+SIGNATURE = [f"p{i}" for i in range(PARITIES)]
+
 #: Up to so many sets that share a token are paired outright; a larger bucket is searched around its first sets before.
 SMALL = 8
 
@@ -84,7 +88,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = WORDS) -> tuple
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[np.uint64(0)], np.cumsum(values)])
+    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
     return total[at[1:]] - total[at[:-1]]
 
 
@@ -93,6 +97,23 @@ def names_of(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _sums(mix(shingles, 3), at).view(np.int64), _sums(mix(shingles, 4), at).view(np.int64)
 
 
+def parities(shingles: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Each set's signature. Where two signatures differ in so many bits, the sets differ in as many shingles at least."""
+    place = mix(shingles, 5) >> np.uint64(55)
+    word, bit = (place >> np.uint64(6)).astype(np.int8), np.uint64(1) << (place & np.uint64(63))
+    out = []
+    for i in range(PARITIES):
+        upto = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.where(word == i, bit, np.uint64(0)))])
+        out.append((upto[at[1:]] ^ upto[at[:-1]]).view(np.int64))
+    return out
+
+
+def may_link(na: str, nb: str, a: str, b: str, percent: int) -> str:
+    """SQL that holds for every pair that links: differing bits are no more than the shingles that such sets may differ in."""
+    bits = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in SIGNATURE)
+    return f"({bits}) * {100 + percent} <= ({na} + {nb}) * {100 - percent}"
+
+
 def _counter(shingles: np.ndarray, order: int) -> np.ndarray:
     return ((shingles >> np.uint64(20 * order + 2)) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
@@ -111,16 +132,16 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 counts[order] += np.bincount(_counter(shingles, order), minlength=COUNTERS)
             n = batch.num_rows
             nulls = pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, names_of(shingles, at)), *nulls], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, names_of(shingles, at)), *map(pa.array, parities(shingles, at)), *nulls], names=names)
         flat = counts.reshape(-1, CHUNK)
         used = np.flatnonzero(flat.any(1))
         if len(used):
-            nothing = [pa.nulls(len(used), pa.int64()) for _ in range(4)]
+            nothing = [pa.nulls(len(used), pa.int64()) for _ in range(4 + PARITIES)]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(used.astype(np.int32)), pa.array([_packed(x) for x in flat[used]], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
+    names = ["doc_id", "n", "f1", "f2", *SIGNATURE, "chunk", "counts"]
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, chunk int, counts binary")
+    return slim.mapInArrow(run, f"doc_id long, n long, f1 long, f2 long, {', '.join(f'{x} long' for x in SIGNATURE)}, chunk int, counts binary")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -301,6 +322,8 @@ def jaccard_components(
     under every one of several global orders, each by its own counters of documents and its own hash, with common
     shingles last. Pairs that meet under all orders are verified on the whole texts.
 
+    What the search finds must also pass by size and by signatures of parities, which rule out only pairs that can't link, before texts are read.
+
     A bucket of many sets isn't paired outright: each set is held against the bucket's first of about its size, and only where
     a large bucket still spans several components are its members of different components paired, so a
     group of near copies costs about as many pairs as it has members, and no link is lost.
@@ -310,14 +333,17 @@ def jaccard_components(
     """
     described = stored(spark, describe(docs, id_col, text_col, size), "described")
     sets = described.where("chunk IS NULL").select("doc_id", "n", "f1", "f2")
-    first = stored(spark, sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "sets")
+    known = described.where("chunk IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2")
+    first = stored(spark, known.agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in SIGNATURE)), "sets")
     found = stored(spark, paired(postings(spark, docs, document_counts(described), id_col, text_col, size, percent), percent), "paired")
 
     def named(pairs: DataFrame) -> DataFrame:
-        a = first.select(F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("rep").alias("x"))
-        b = first.select(F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("rep").alias("y"))
-        both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where("x <> y")
-        return both.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), *(c for c in ("bits",) if c in pairs.columns)).distinct()
+        rest = ["rep", "n", *SIGNATURE]
+        for side in ("a", "b"):
+            own = first.select(F.col("f1").alias(f"{side}1"), F.col("f2").alias(f"{side}2"), F.struct(*rest).alias(side))
+            pairs = pairs.join(own, [f"{side}1", f"{side}2"])
+        both = pairs.where("a.rep <> b.rep").where(may_link("a.n", "b.n", "a", "b", percent))
+        return both.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"), *(c for c in ("bits",) if c in pairs.columns)).distinct()
 
     all_orders = (1 << ORDERS) - 1
     name = ["a1", "a2", "b1", "b2"]
@@ -328,16 +354,15 @@ def jaccard_components(
     labels = connected_components(spark, links)
 
     # what large buckets leave open: those whose members are in several components
-    members = found.where("kind = 2").select("ord", "token", "na", F.col("a1").alias("f1"), F.col("a2").alias("f2")).join(first, ["f1", "f2"])
-    members = members.join(labels, F.col("rep") == F.col("node"), "left").select("ord", "token", "na", "rep", F.coalesce("component", "rep").alias("component"))
+    members = found.where("kind = 2").select("ord", "token", F.col("a1").alias("f1"), F.col("a2").alias("f2")).join(first, ["f1", "f2"])
+    members = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node", "f1", "f2")
     members = stored(spark, members, "members")
-    split = members.groupBy("token").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("token")
-    open_members = stored(spark, members.join(split, "token", "left_semi"), "open-members")
-    if open_members.limit(1).count():
-        b = open_members.select("token", F.col("na").alias("nb"), F.col("rep").alias("y"), F.col("component").alias("cy"))
-        across = open_members.join(b, "token").where((F.col("component") < F.col("cy")) & (F.least("na", "nb") * F.lit(100) >= F.greatest("na", "nb") * F.lit(percent)))
-        bit = F.expr("shiftleft(1, cast(ord AS int))").alias("bits")
-        across = across.select(F.least("rep", "y").alias("u"), F.greatest("rep", "y").alias("v"), bit)
+    usual = members.groupBy("token", "component").agg(F.count("*").alias("_k")).groupBy("token").agg(F.max_by("component", F.struct("_k", "component")).alias("_usual"), F.count("*").alias("_parts"))
+    split = stored(spark, members.join(usual.where("_parts > 1"), "token"), "split-buckets")
+    if split.limit(1).count():
+        # each member outside a bucket's largest component is held against those of other components
+        across = split.where("component <> _usual").alias("a").join(split.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND a.rep <> b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} AND {may_link('a.n', 'b.n', 'a', 'b', percent)}"))
+        across = across.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"), F.expr("shiftleft(1, cast(a.ord AS int))").alias("bits"))
         rest = across.union(named(small)).groupBy("u", "v").agg(F.bit_or("bits").alias("bits")).where(F.col("bits") == all_orders).select("u", "v")
         rest = stored(spark, rest.join(pairs, ["u", "v"], "left_anti"), "rest")
         links = links.union(verified(spark, rest, docs, id_col, text_col, size, percent))
