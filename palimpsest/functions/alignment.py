@@ -21,18 +21,20 @@ def _letters(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def edit_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
     """Levenshtein distances of all tokens of ``a`` to all of ``b``, ``most + 1`` for what is above ``most``.
 
-    Pairs whose lengths rule them out are left out; the others go through the table of the recurrence together, one cell of all pairs at a time.
+    Pairs whose lengths or letters rule them out are left out; the others go through the table of the recurrence together, one cell of all pairs at a time.
     """
     out = np.full((len(a), len(b)), most + 1, np.int64)
     if not a or not b:
         return out
     (la, na), (lb, nb) = _letters(a), _letters(b)
-    i, j = np.nonzero(np.abs(na[:, None] - nb[None, :]) <= most)
+    # an edit changes one or two of the letters that occur, so more than that many others rule a pair out
+    xa, xb = (np.bitwise_or.reduce(np.where(x > 0, np.uint64(1) << (x.astype(np.uint64) & np.uint64(63)), np.uint64(0)), axis=1) for x in (la, lb))
+    i, j = np.nonzero((np.abs(na[:, None] - nb[None, :]) <= most) & (np.bitwise_count(xa[:, None] ^ xb[None, :]) <= 2 * most))
     if not len(i):
         return out
     x, y, n, m = la[i], lb[j], na[i], nb[j]
     wide = y.shape[1]
-    row = np.tile(np.arange(wide + 1), (len(i), 1))
+    row = np.tile(np.arange(wide + 1, dtype=np.int16), (len(i), 1))
     found = np.where(n == 0, m, most + 1)
     for r in range(1, x.shape[1] + 1):
         above, row = row, np.empty_like(row)

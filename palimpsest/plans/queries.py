@@ -1,9 +1,779 @@
-"""Registers every query of the library outside the subpackage for corpora."""
+"""Every operator as a query over the driver's tables, with its SQL where there is one.
+
+Words are runs of a-z in lower-cased text here, so that both engines see the same tokens; sources stand for corpora, documents for segments.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions import columns as C
+from palimpsest.functions import latin
+from palimpsest.functions import lexicon as L
+from palimpsest.operators import cooccurrence, edges, metrics, pareto, ranking, retrieval, statistics
+from palimpsest.operators.chunking import chunk
+from palimpsest.plans.registry import query
+from palimpsest.sources import segmenters
+from palimpsest.workspace import stored
+
+WORD = "[a-z]+"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def sql_set(values) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in sorted(values)) + ")"
+
+
+# --- scans, filters and scalar functions -----------------------------------------
+
+
+@query(
+    "scan_segments",
+    r"""SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents) WHERE length(t) >= 20""",
+)
+def scan_segments(spark, d):
+    """Validated segments: outer blanks off, at least 20 characters."""
+    t = F.regexp_replace("text", r"^\s+|\s+$", "")
+    return table(spark, d, "documents").select("doc_id", t.alias("t")).where(F.length("t") >= 20).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+@query(
+    "clean_text",
+    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '\[[0-9]+\]', '', 'g'), '([a-z])-[ \n]+([a-z])', '\1\2', 'g'), '[ \n\t\r]+', ' ', 'g'))) AS cleaned FROM pages""",
+)
+def clean_text(spark, d):
+    x = F.regexp_replace("html", r"\[[0-9]+\]", "")
+    x = F.regexp_replace(x, r"([a-z])-[ \n]+([a-z])", "$1$2")
+    return table(spark, d, "pages").select("page_id", F.md5(F.trim(F.regexp_replace(x, r"[ \n\t\r]+", " "))).alias("cleaned"))
+
+
+@query("word_tokens", r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents""")
+def word_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(C.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query("squash_marks", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[_=~•·]+', ' ', 'g'), '-{2,}', ' ', 'g'), '[|¦]+', ' ', 'g')) AS squashed FROM documents""")
+def squash_marks(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(C.squash(F.col("text"))).alias("squashed"))
+
+
+@query(
+    "tokens",
+    r"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', '', 'g'), '[a-z]+(?:''[a-z]+)?|\d+') AS t FROM documents)""",
+)
+def tokens(spark, d):
+    ascii_only = F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "")
+    found = F.regexp_extract_all(ascii_only, F.lit(r"[a-z]+(?:'[a-z]+)?|\d+"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", found.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
+
+
+ENCLITIC_SQL = f"""list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: CASE
+  WHEN x IN {sql_set(L.NO_ENCLITIC_SPLIT)} THEN x
+  ELSE regexp_replace(replace(replace(x, 'j', 'i'), 'v', 'u'), '^([a-z]{{2,}}?)(que|ue|ve)$', '\\1 \\2') END)"""
+
+
+@query("enclitics", f"SELECT doc_id, md5(array_to_string({ENCLITIC_SQL}, ' ')) AS tokens FROM documents")
+def enclitics(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(C.enclitics_apart(words(F.col("text"))), " ")).alias("tokens"))
+
+
+VOCABULARY = "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY w"
+
+
+def vocabulary(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query(
+    "roman_numerals",
+    f"""SELECT w, n FROM ({VOCABULARY}) WHERE regexp_matches(replace(w, 'j', 'i'), '^[mdclxvui]+$')
+        AND regexp_matches(replace(replace(w, 'j', 'i'), 'v', 'u'), '^m{{0,4}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|iu|u?i{{0,3}})$')""",
+)
+def roman_numerals(spark, d):
+    return vocabulary(spark, d).where(C.is_roman(F.col("w")))
+
+
+SHAPE_SQL = f"""(CASE WHEN g IN {sql_set(L.LATIN_FUNCTION_WORDS)} THEN 3.0 ELSE 0.0 END + CASE WHEN regexp_matches(g, '(orum|arum|ibus|que|ius|ae|am|em|um|us|is)$') THEN 0.8 ELSE 0.0 END
+  + CASE WHEN regexp_matches(g, '^(quod|quia|quae|quibus|nullus|omnis|ips|illi|apud|contra)') THEN 1.2 ELSE 0.0 END + CASE WHEN g LIKE '%tur' THEN 1.0 ELSE 0.0 END)"""
+GRAPHIC_SQL = "replace(replace(w, 'j', 'i'), 'v', 'u')"
+
+
+@query("latin_shape", f"SELECT w, round(CAST({SHAPE_SQL} AS DOUBLE), 3) AS latin FROM (SELECT w, {GRAPHIC_SQL} AS g FROM ({VOCABULARY}))")
+def latin_shape(spark, d):
+    return vocabulary(spark, d).select("w", F.round(C.latin_shape(F.col("w")), 3).alias("latin"))
+
+
+VOWELS_SQL = "length(regexp_replace(g, '[^aeiouy]', '', 'g'))"
+APPARATUS_SQL = f"(g IN {sql_set(L.APPARATUS_TOKENS)} OR (length(g) <= 4 AND {VOWELS_SQL} = 0) OR regexp_matches(g, '^(cod|codd|ms|mss|fol|pag|tit|cap)[0-9]*$'))"
+RUNS = "(" + "|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyz") + ")"
+ROMAN_SQL = "(regexp_matches(g, '^[mdclxui]+$') AND regexp_matches(g, '^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|iu|u?i{0,3})$'))"
+NOISE_SQL = f"""(NOT {ROMAN_SQL} AND ((length(g) = 1 AND g NOT IN ('a', 'e', 'i', 'o')) OR {APPARATUS_SQL} OR (length(g) >= 8 AND {VOWELS_SQL} <= 1)
+  OR (length(g) >= 6 AND {VOWELS_SQL} = 0) OR regexp_matches(g, '{RUNS}') OR regexp_matches(g, 'q[^u]|[bcdfghiklmnopqrstuwxyz]{{5,}}')))"""
+
+
+@query("noise_tokens", f"SELECT w, {APPARATUS_SQL} AS apparatus, {NOISE_SQL} AS noise FROM (SELECT w, {GRAPHIC_SQL} AS g FROM ({VOCABULARY}))")
+def noise_tokens(spark, d):
+    return vocabulary(spark, d).select("w", C.apparatus_like(F.col("w")).alias("apparatus"), C.noise_token(F.col("w")).alias("noise"))
+
+
+ROMANCE_SQL = f"""(CASE WHEN regexp_matches(w, '(orum|arum|ibus|que|ius|ae|am|em|um|us|is)$') THEN 0.0 WHEN w IN {sql_set(L.ROMANCE_ARTICLES)} THEN 2.0
+  WHEN (w IN {sql_set(L.ROMANCE_FUNCTION_WORDS)} AND {SHAPE_SQL} < 1.0) OR regexp_matches(w, '({'|'.join(L.ROMANCE_STRONG_ENDINGS)})$') OR regexp_matches(w, '^({'|'.join(L.ROMANCE_STRONG_BEGINNINGS)})') THEN 1.5 ELSE 0.0 END)"""
+
+
+@query("romance_points", f"SELECT w, CAST({ROMANCE_SQL} AS DOUBLE) AS romance FROM (SELECT w, {GRAPHIC_SQL} AS g FROM ({VOCABULARY}))")
+def romance_points(spark, d):
+    return vocabulary(spark, d).select("w", C.romance_points(F.col("w")).alias("romance"))
+
+
+MODE_SQL = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), s AS (SELECT doc_id, w, {GRAPHIC_SQL} AS g FROM t),
+p AS (SELECT doc_id, {SHAPE_SQL} AS la, {ROMANCE_SQL} AS ro, CASE WHEN {NOISE_SQL} THEN 10.0 ELSE 0.0 END + CASE WHEN {APPARATUS_SQL} THEN 5.0 ELSE 0.0 END
+  + CASE WHEN length(w) >= 8 AND {VOWELS_SQL} <= 1 THEN 5.0 ELSE 0.0 END AS no FROM s),
+q AS (SELECT doc_id, round(CAST(sum(la) AS DOUBLE), 3) AS latin, round(CAST(sum(ro) AS DOUBLE), 3) AS romance, round(CAST(sum(no) AS DOUBLE) / count(*), 3) AS noise FROM p GROUP BY doc_id)
+SELECT doc_id, latin, romance, noise, CASE
+  WHEN noise >= 3.2 AND (noise >= latin * 0.5 OR latin < 4.0) THEN 'ocr_noise'
+  WHEN latin >= 4.0 AND latin >= romance * 1.8 AND noise < latin * 0.6 THEN 'latin'
+  WHEN romance >= 4.0 AND romance >= latin * 1.8 AND noise < romance * 0.6 THEN 'romance'
+  WHEN latin >= 2.5 AND romance >= 2.5 AND greatest(latin, romance) / greatest(1.0, least(latin, romance)) <= 1.6 THEN 'mixed'
+  WHEN latin > romance AND latin >= 2.0 THEN 'latin' WHEN romance > latin AND romance >= 2.0 THEN 'romance'
+  WHEN noise >= 2.2 THEN 'ocr_noise' ELSE 'unknown' END AS mode FROM q"""
+
+
+@query("detect_mode", MODE_SQL)
+def detect_mode(spark, d):
+    """Each document's scores and language mode, its words' points added up per distinct word."""
+    t = table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    w = F.col("w")
+    odd = F.when(C.noise_token(w), 10.0).otherwise(0.0) + F.when(C.apparatus_like(w), 5.0).otherwise(0.0) + F.when((F.length(w) >= 8) & (C.vowels(C.graphic(w)) <= 1), 5.0).otherwise(0.0)
+    counted = t.groupBy("doc_id", "w").agg(F.count("*").alias("n")).select("doc_id", "n", C.latin_shape(w).alias("la"), C.romance_points(w).alias("ro"), odd.alias("no"))
+    total = counted.groupBy("doc_id").agg(
+        F.round(F.sum(F.col("la") * F.col("n")), 3).alias("latin"), F.round(F.sum(F.col("ro") * F.col("n")), 3).alias("romance"), F.round(F.sum(F.col("no") * F.col("n")) / F.sum("n"), 3).alias("noise")
+    )
+    return total.withColumn("mode", C.mode(F.col("latin"), F.col("romance"), F.col("noise")))
+
+
+@query(
+    "stopwords",
+    f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN {sql_set(L.LATIN_STOPWORDS | L.ROMANCE_STOPWORDS)})) AS BIGINT) AS kept FROM documents",
+)
+def stopwords(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(C.without_stopwords(words(F.col("text")), latin.stopwords("mixed"))).cast("long").alias("kept"))
+
+
+@query(
+    "keep_numbers",
+    "SELECT x AS number, count(*) AS n, length(x) >= 3 OR 2.0 < 1.5 AS noisy_kept, length(x) >= 3 OR 1.0 < 1.5 AS clean_kept FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS x FROM documents) GROUP BY x",
+)
+def keep_numbers(spark, d):
+    found = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("number"))
+    keep = lambda noise: C.keep_number(F.col("number"), F.lit(noise))
+    return found.groupBy("number").agg(F.count("*").alias("n")).select("number", "n", keep(2.0).alias("noisy_kept"), keep(1.0).alias("clean_kept"))
+
+
+@query(
+    "healthy_stems",
+    f"""SELECT w, stem, length(stem) >= 4 AND length(stem) / length(w) >= 0.5 AND length(regexp_replace(stem, '[^aeiouy]', '', 'g')) > 0
+        AND NOT regexp_matches(stem, 'q[^u]|[bcdfghiklmnopqrstuwxyz]{{5,}}') AS healthy FROM (SELECT w, left(w, greatest(length(w) - 2, 0)) AS stem FROM ({VOCABULARY}))""",
+)
+def healthy_stems(spark, d):
+    cut = vocabulary(spark, d).select("w", F.left("w", F.greatest(F.length("w") - 2, F.lit(0))).alias("stem"))
+    return cut.select("w", "stem", C.healthy_stem(F.col("stem"), F.col("w")).alias("healthy"))
+
+
+@query("preprocess")
+def preprocess(spark, d):
+    """The whole normaliser over all documents: mode, and how many tokens each step leaves."""
+    found = table(spark, d, "documents").select("doc_id", latin.analysis("text").alias("a"))
+    return found.select("doc_id", "a.mode", *(F.size(f"a.{c}").alias(c.replace("_tokens", "")) for c in ("raw_tokens", "normalized_tokens", "stemmed_tokens", "final_tokens")))
+
+
+LEGACY = "w"
+for _ in range(1):
+    for _ending in cooccurrence.ENDINGS:
+        LEGACY = f"regexp_replace({LEGACY}, '{_ending}$', '')"
+
+
+@query("legacy_endings", f"SELECT w AS word, {LEGACY.replace('(w,', '(replace(replace(w, chr(117), chr(118)), chr(106), chr(105)),', 1)} AS stem FROM ({VOCABULARY})")
+def legacy_endings(spark, d):
+    return vocabulary(spark, d).select(F.col("w").alias("word"), cooccurrence.cut_endings(F.col("w"), rounds=1).alias("stem"))
+
+
+@query("roman_values", "SELECT CAST(p_size AS BIGINT) AS value, count(*) AS n FROM part GROUP BY p_size")
+def roman_values(spark, d):
+    """Sizes written as Roman numerals and read again."""
+    tens, ones = F.floor(F.col("p_size") / 10), F.col("p_size") % 10
+    digits = lambda n, a, b, c: F.element_at(F.array(*map(F.lit, ["", a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c])), (n + 1).cast("int"))
+    numeral = F.concat(digits(tens, "X", "L", "C"), digits(ones, "I", "V", "X"))
+    return table(spark, d, "part").groupBy(C.roman_value(numeral).cast("long").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("snippets", r"""SELECT doc_id, md5(regexp_replace(replace(substr(text, 1, 220), chr(10), ' '), '^\s+|\s+$', '', 'g')) AS snippet FROM documents""")
+def snippets(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(C.snippet(F.col("text"))).alias("snippet"))
+
+
+@query("doc_numbers", "SELECT item_id, TRY_CAST(nullif(regexp_extract('x_Doc' || item_id || '_y', '(?i)_doc([0-9]+)', 1), '') AS INTEGER) AS doc_no, CAST(NULL AS INTEGER) AS none FROM benchmark")
+def doc_numbers(spark, d):
+    parent = F.concat(F.lit("x_Doc"), F.col("item_id"), F.lit("_y"))
+    return table(spark, d, "benchmark").select("item_id", C.doc_no(parent).alias("doc_no"), C.doc_no(F.lit("x_1")).alias("none"))
+
+
+# --- windows of words ---------------------------------------------------------------
+
+CHUNK_SQL = """
+WITH s AS (SELECT source AS corpus, CAST(doc_id AS VARCHAR) AS seg_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS w,
+  CASE WHEN source = 'src1' THEN 40 ELSE 60 END AS win, CASE WHEN source = 'src1' THEN 10 ELSE 20 END AS lap, source <> 'src2' AS onn FROM documents),
+t AS (SELECT *, len(w) AS n, greatest(1, win - lap) AS step FROM s),
+k AS (SELECT *, onn AND n >= 15 AND n > win AS cut FROM t),
+u AS (SELECT *, unnest(CASE WHEN cut THEN range(0, n, step) ELSE [0] END) AS st FROM k),
+v AS (SELECT *, least(n, st + win) AS e FROM u WHERE NOT cut OR ((st = 0 OR st - step + win < n) AND least(n, st + win) - st >= 15)),
+x AS (SELECT *, row_number() OVER (PARTITION BY corpus, seg_id ORDER BY st) - 1 AS idx FROM v)
+SELECT corpus, seg_id AS parent_id, CASE WHEN cut THEN seg_id || '__w' || idx || '_W' || st || '-' || e ELSE seg_id END AS leaf_id,
+  CAST(CASE WHEN cut THEN e - st ELSE n END AS BIGINT) AS n_words, md5(CASE WHEN cut THEN array_to_string(list_slice(w, st + 1, e), ' ') ELSE array_to_string(w, ' ') END) AS words FROM x"""
+
+
+@query("chunk_windows", CHUNK_SQL)
+def chunk_windows(spark, d):
+    segs = table(spark, d, "documents").select(F.col("source").alias("corpus"), F.col("doc_id").cast("string").alias("seg_id"), "text")
+    cut = chunk(segs, True, window_words=60, overlap_words=20, min_words=15, per_corpus={"src1": {"window_words": 40, "overlap_words": 10}, "src2": {"enabled": False}})
+    w = C.words(F.col("text"))
+    return cut.select("corpus", "parent_id", "leaf_id", F.size(w).cast("long").alias("n_words"), F.md5(F.array_join(w, " ")).alias("words"))
+
+
+@query("ngrams", "WITH t AS (SELECT turn, conv_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations), g AS (SELECT unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM t) SELECT term, count(*) AS n FROM g GROUP BY term")
+def ngrams(spark, d):
+    return table(spark, d, "conversations").select(F.explode(C.ngrams(words(F.col("text")), 1, 3)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("segment_paragraphs")
+def segment_paragraphs(spark, d):
+    """Paragraph segments of all documents."""
+    return segmenters.default_segments(table(spark, d, "documents"), "doc_id", "text").select("corpus", "seg_id", F.length("text").alias("n_chars"))
+
+
+# --- corpora, pairs and budgets -------------------------------------------------------
+
+
+def sources(spark, d) -> list[str]:
+    return [r["source"] for r in table(spark, d, "documents").select("source").distinct().orderBy("source").collect()]
+
+
+MAPPINGS = [(["src0", "src1"], ["src2", "src3", "src99"]), (["src1"], ["src3", "src4"])]
+MAPPED_SQL = "SELECT DISTINCT a.source AS left_corpus, b.source AS right_corpus FROM documents a, documents b WHERE (a.source IN ('src0', 'src1') AND b.source IN ('src2', 'src3')) OR (a.source = 'src1' AND b.source IN ('src3', 'src4'))"
+
+
+@query("allowed_pairs", "WITH s AS (SELECT DISTINCT source FROM documents) SELECT DISTINCT a.source AS left_corpus, b.source AS right_corpus FROM s a, s b WHERE (a.source IN ('src0', 'src1') AND b.source IN ('src2', 'src3')) OR (a.source = 'src1' AND b.source IN ('src3', 'src4'))")
+def allowed_pairs(spark, d):
+    names = sources(spark, d)
+    return retrieval.pairs_frame(spark, retrieval.allowed_pairs(names, names, MAPPINGS))
+
+
+@query("allowed_by_left", "WITH s AS (SELECT DISTINCT source FROM documents), r AS (SELECT source FROM s UNION SELECT 'src99') SELECT DISTINCT a.source AS left_corpus, b.source AS right_corpus FROM s a, r b WHERE (a.source NOT IN ('src0', 'src1') AND b.source <> 'src99') OR (a.source IN ('src0', 'src1') AND b.source IN ('src2', 'src3', 'src99')) OR (a.source = 'src1' AND b.source IN ('src3', 'src4'))")
+def allowed_by_left(spark, d):
+    names = sources(spark, d)
+    return retrieval.pairs_frame(spark, retrieval.allowed_by_left(names, names, MAPPINGS))
+
+
+@query("corpus_pairs", "WITH s AS (SELECT DISTINCT source FROM documents) SELECT a.source AS left_corpus, b.source AS right_corpus FROM s a, s b WHERE a.source < b.source")
+def corpus_pairs(spark, d):
+    names = sources(spark, d)
+    return retrieval.pairs_frame(spark, edges.corpus_pairs(names, names))
+
+
+def passages(spark, d) -> DataFrame:
+    """Benchmark passages on the left, documents on the right, as leaves."""
+    left = table(spark, d, "benchmark").select(F.lit("left").alias("side"), F.lit("benchmark").alias("corpus"), F.col("item_id").cast("string").alias("leaf_id"), "text")
+    right = table(spark, d, "documents").select(F.lit("right").alias("side"), F.col("source").alias("corpus"), F.col("doc_id").cast("string").alias("leaf_id"), "text")
+    return left.union(right).select("side", "corpus", "leaf_id", F.col("leaf_id").alias("parent_id"), words(F.col("text")).alias("lemmas"), "text")
+
+
+LEAVES_SQL = """l AS (SELECT 'left' AS side, 'benchmark' AS corpus, CAST(item_id AS VARCHAR) AS leaf_id, regexp_extract_all(lower(text), '[a-z]+') AS lemmas FROM benchmark
+  UNION ALL SELECT 'right', source, CAST(doc_id AS VARCHAR), regexp_extract_all(lower(text), '[a-z]+') FROM documents)"""
+
+
+@query(
+    "pair_budgets",
+    """WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT a.source AS left_corpus, b.source AS right_corpus, a.n AS n_left, b.n AS n_right, sqrt(a.n * b.n) AS w FROM n a, n b WHERE a.source < b.source),
+    s AS (SELECT *, 5000.0 * (w / sum(w) OVER ()) AS raw FROM p)
+    SELECT left_corpus, right_corpus, n_left, n_right, CAST(least(60, greatest(20, greatest(1, round_even(raw, 0)))) AS BIGINT) AS budget FROM s""",
+)
+def pair_budgets(spark, d):
+    names = sources(spark, d)
+    docs = table(spark, d, "documents").select(F.col("source").alias("corpus"))
+    leaves = docs.withColumn("side", F.lit("left")).unionByName(docs.withColumn("side", F.lit("right")))
+    return retrieval.pair_budgets(leaves, retrieval.pairs_frame(spark, edges.corpus_pairs(names, names)), 5000, "weighted_sqrt", 20, 60)
+
+
+# --- TF-IDF and the similarity join ----------------------------------------------------
+
+IDF_SQL = f"WITH {LEAVES_SQL}, d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT side, corpus, leaf_id, unnest(lemmas) AS term FROM l) GROUP BY term) SELECT term, df, round(ln((SELECT count(*) FROM l) / df), 9) AS idf FROM d"
+
+
+@query("idf", IDF_SQL)
+def idf(spark, d):
+    return retrieval.idf_table(passages(spark, d)).withColumn("idf", F.round("idf", 9))
+
+
+TFIDF_SQL = f"""{LEAVES_SQL}, c AS (SELECT side, corpus, leaf_id, term, count(*) AS n FROM (SELECT side, corpus, leaf_id, unnest(list_concat(lemmas, list_transform(range(1, len(lemmas)), lambda i: lemmas[i] || ' ' || lemmas[i + 1]))) AS term FROM l) GROUP BY ALL),
+f AS (SELECT *, n / max(n) OVER (PARTITION BY side, corpus, leaf_id) AS tf FROM c), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+v AS (SELECT term, ln((SELECT count(*) FROM l) / df) AS idf FROM df WHERE df >= 2 AND df <= floor(0.5 * (SELECT count(*) FROM l))),
+r AS (SELECT side, corpus, leaf_id, term, tf * idf AS raw FROM f JOIN v USING (term)),
+w AS (SELECT side, corpus, leaf_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY side, corpus, leaf_id)) AS w FROM r)"""
+
+
+def weights(spark, d) -> DataFrame:
+    return retrieval.tfidf(passages(spark, d), low=1, high=2)
+
+
+@query("tfidf", f"WITH {TFIDF_SQL} SELECT side, corpus, leaf_id, term, round(w, 9) AS w FROM w WHERE w > 0")
+def tfidf(spark, d):
+    return weights(spark, d).withColumn("w", F.round("w", 9))
+
+
+SIM_SQL = f"{TFIDF_SQL}, s AS (SELECT a.corpus AS left_corpus, b.corpus AS right_corpus, a.leaf_id AS left_id, b.leaf_id AS right_id, round(sum(a.w * b.w), 9) AS cos_sim FROM w a JOIN w b USING (term) WHERE a.side = 'left' AND b.side = 'right' AND b.corpus <> 'src5' GROUP BY ALL HAVING sum(a.w * b.w) > 0)"
+
+
+def found_pairs(spark, d) -> DataFrame:
+    """Similarities of passages and documents; one source isn't allowed."""
+    pairs = [("benchmark", x) for x in sources(spark, d) if x != "src5"]
+    found = retrieval.similarities(weights(spark, d), retrieval.pairs_frame(spark, pairs))
+    return stored(spark, found.withColumn("cos_sim", F.round("cos_sim", 9)), "similarities")
+
+
+@query("similarity_join", f"WITH {SIM_SQL} SELECT left_corpus, right_corpus, left_id, right_id, cos_sim FROM s")
+def similarity_join(spark, d):
+    return found_pairs(spark, d)
+
+
+@query("top_per_left", f"WITH {SIM_SQL} SELECT left_corpus, right_corpus, left_id, right_id, cos_sim FROM (SELECT *, row_number() OVER (PARTITION BY left_corpus, right_corpus, left_id ORDER BY cos_sim DESC, right_id) AS r FROM s) WHERE r <= 3")
+def top_per_left(spark, d):
+    return retrieval.top_per_left(found_pairs(spark, d), 3)
+
+
+@query("top_per_right", f"WITH {SIM_SQL} SELECT left_corpus, right_corpus, left_id, right_id, cos_sim FROM (SELECT *, row_number() OVER (PARTITION BY left_corpus, right_corpus, right_id ORDER BY cos_sim DESC, left_id) AS r FROM s) WHERE r <= 2")
+def top_per_right(spark, d):
+    return retrieval.top_per_right(found_pairs(spark, d), 2)
+
+
+@query("threshold_join", f"WITH {SIM_SQL} SELECT left_corpus, right_corpus, left_id, right_id, cos_sim FROM s WHERE cos_sim >= 0.05")
+def threshold_join(spark, d):
+    return found_pairs(spark, d).where("cos_sim >= 0.05")
+
+
+@query("global_heap", f"WITH {SIM_SQL} SELECT left_id, right_id, cos_sim FROM s ORDER BY cos_sim DESC, left_id, right_id LIMIT 200")
+def global_heap(spark, d):
+    return found_pairs(spark, d).orderBy(F.desc("cos_sim"), "left_id", "right_id").limit(200).select("left_id", "right_id", "cos_sim")
+
+
+CAND_SQL = f"""{SIM_SQL}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_corpus, right_corpus, left_id ORDER BY cos_sim DESC, right_id) AS r FROM s) WHERE r <= 4),
+n AS (SELECT side, corpus, count(*) AS n FROM l GROUP BY ALL), p AS (SELECT a.corpus AS left_corpus, b.corpus AS right_corpus, sqrt(a.n * b.n) AS g FROM n a, n b WHERE a.side = 'left' AND b.side = 'right' AND b.corpus <> 'src5'),
+b AS (SELECT left_corpus, right_corpus, greatest(25, greatest(1, round_even(600.0 * (g / sum(g) OVER ()), 0))) AS budget FROM p),
+u AS (SELECT t.*, row_number() OVER (PARTITION BY left_corpus, right_corpus ORDER BY cos_sim DESC, left_id, right_id) AS k FROM t),
+cc AS (SELECT u.left_corpus, u.right_corpus, left_id, right_id, cos_sim FROM u JOIN b USING (left_corpus, right_corpus) WHERE k <= budget ORDER BY cos_sim DESC, left_id, right_id LIMIT 500),
+cand AS (SELECT *, row_number() OVER (ORDER BY cos_sim DESC, left_id, right_id) AS cand_pos FROM cc)"""
+
+
+def chosen(spark, d) -> DataFrame:
+    """The budgeted search as a whole."""
+    pairs = retrieval.pairs_frame(spark, [("benchmark", x) for x in sources(spark, d) if x != "src5"])
+    found = retrieval.top_per_left(found_pairs(spark, d), 4)
+    shares = retrieval.pair_budgets(passages(spark, d), pairs, 600, "weighted_sqrt", 25, None)
+    return stored(spark, retrieval.numbered(retrieval.merged(retrieval.cut_to_budget(found, shares), 500)), "candidates")
+
+
+@query("candidates", f"WITH {CAND_SQL} SELECT cand_pos, left_corpus, right_corpus, left_id, right_id, cos_sim FROM cand")
+def candidates(spark, d):
+    return chosen(spark, d).withColumn("cand_pos", F.col("cand_pos").cast("long"))
+
+
+@query("top_terms", f"WITH {TFIDF_SQL} SELECT side, corpus, leaf_id, term, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY side, corpus, leaf_id ORDER BY round(w, 9) DESC, term) AS r FROM w WHERE w > 0) WHERE r <= 5")
+def top_terms(spark, d):
+    return retrieval.top_terms(weights(spark, d).withColumn("w", F.round("w", 9)), 5).select("side", "corpus", "leaf_id", "term", F.col("rank").cast("long").alias("rank"))
+
+
+@query("shared_terms", f"WITH {CAND_SQL}, x AS (SELECT c.left_id, c.right_id, a.term, round(a.w * b.w, 9) AS product FROM cand c JOIN w a ON a.side = 'left' AND a.leaf_id = c.left_id JOIN w b ON b.side = 'right' AND b.leaf_id = c.right_id AND a.term = b.term WHERE c.cand_pos <= 50) SELECT left_id, right_id, term, product, rank FROM (SELECT *, row_number() OVER (PARTITION BY left_id, right_id ORDER BY product DESC, term) AS rank FROM x) WHERE rank <= 8")
+def shared_terms(spark, d):
+    """The terms behind the 50 most similar pairs."""
+    found = retrieval.shared_terms(weights(spark, d), chosen(spark, d).where("cand_pos <= 50"), 1 << 30).withColumn("product", F.round("product", 9))
+    rank = F.row_number().over(Window.partitionBy("left_id", "right_id").orderBy(F.desc("product"), "term"))
+    return found.withColumn("rank", rank.cast("long")).where("rank <= 8").select("left_id", "right_id", "term", "product", "rank")
+
+
+# --- measures of pairs -------------------------------------------------------------------
+
+
+def turns(spark, d) -> DataFrame:
+    """Neighbouring turns of all conversations as pairs of lists of words."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", words(F.col("text")).alias("w"))
+    other = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("right_lemmas"))
+    rows = t.withColumnRenamed("w", "left_lemmas").join(other, ["conv_id", "turn"])
+    return rows.withColumn("pair", F.concat_ws("/", "conv_id", "turn"))
+
+
+TURNS_SQL = """t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations), p AS (SELECT a.conv_id || '/' || a.turn AS pair, a.w AS x, b.w AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"""
+
+
+@query(
+    "tesserae",
+    f"""WITH {TURNS_SQL}, d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT conv_id, turn, unnest(w) AS term FROM t) GROUP BY term), i AS (SELECT term, ln((SELECT count(*) FROM t) / df) AS idf FROM d),
+    s AS (SELECT pair, len(list_distinct(x)) AS nx, len(list_distinct(y)) AS ny, unnest(list_intersect(x, y)) AS term FROM p), g AS (SELECT pair, sum(idf) / sqrt(any_value(nx) * any_value(ny)) AS v, count(*) AS k FROM s JOIN i USING (term) GROUP BY pair)
+    SELECT p.pair, round(coalesce(CASE WHEN k >= 2 THEN v END, 0.0), 6) AS tesserae FROM p LEFT JOIN g USING (pair)""",
+)
+def tesserae(spark, d):
+    leaves = table(spark, d, "conversations").select(words(F.col("text")).alias("lemmas"))
+    return metrics.with_tesserae(turns(spark, d), retrieval.idf_table(leaves), ("pair",)).select("pair", F.round("tesserae", 6).alias("tesserae"))
+
+
+def sim_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} = {b} THEN 1.0 WHEN abs(length({a}) - length({b})) > 2 OR levenshtein({a}, {b}) > 2 THEN 0.0 ELSE 1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1) END)"
+
+
+@query(
+    "soft_cosine",
+    f"""WITH {TURNS_SQL}, a AS (SELECT pair, term, count(*) AS n FROM (SELECT pair, unnest(x) AS term FROM p) GROUP BY ALL), b AS (SELECT pair, term, count(*) AS n FROM (SELECT pair, unnest(y) AS term FROM p) GROUP BY ALL),
+    ab AS (SELECT a.pair, sum(a.n * b.n * {sim_sql('a.term', 'b.term')}) AS v FROM a JOIN b USING (pair) GROUP BY a.pair), aa AS (SELECT a.pair, sum(a.n * c.n * {sim_sql('a.term', 'c.term')}) AS v FROM a JOIN a c USING (pair) GROUP BY a.pair),
+    bb AS (SELECT b.pair, sum(b.n * c.n * {sim_sql('b.term', 'c.term')}) AS v FROM b JOIN b c USING (pair) GROUP BY b.pair) SELECT ab.pair, round(ab.v / sqrt(aa.v * bb.v), 6) AS soft_cos FROM ab JOIN aa USING (pair) JOIN bb USING (pair)""",
+)
+def soft_cosine(spark, d):
+    return metrics.soft_cosine_native(turns(spark, d), "pair", "left_lemmas", "right_lemmas").withColumn("soft_cos", F.round("soft_cos", 6))
+
+
+@query(
+    "hard_cosine",
+    f"""WITH {TURNS_SQL}, a AS (SELECT pair, term, count(*) AS n FROM (SELECT pair, unnest(x) AS term FROM p) GROUP BY ALL), b AS (SELECT pair, term, count(*) AS m FROM (SELECT pair, unnest(y) AS term FROM p) GROUP BY ALL),
+    s AS (SELECT pair, sum(coalesce(n, 0) * coalesce(m, 0)) AS ab, sum(coalesce(n, 0) * coalesce(n, 0)) AS aa, sum(coalesce(m, 0) * coalesce(m, 0)) AS bb FROM a FULL JOIN b USING (pair, term) GROUP BY pair)
+    SELECT pair, round(CASE WHEN aa > 0 AND bb > 0 THEN ab / sqrt(aa * bb) ELSE 0.0 END, 6) AS hard_cos FROM s""",
+)
+def hard_cosine(spark, d):
+    return metrics.hard_cosine_native(turns(spark, d), "pair", "left_lemmas", "right_lemmas").withColumn("hard_cos", F.round("hard_cos", 6))
+
+
+@query(
+    "shared_stats",
+    f"""WITH {TURNS_SQL}, s AS (SELECT pair, len(list_intersect(x, y)) AS sh, len(list_distinct(list_concat(x, y))) AS un, least(len(list_distinct(x)), len(list_distinct(y))) AS le FROM p)
+    SELECT pair, CAST(sh AS BIGINT) AS shared, CAST(un AS BIGINT) AS "union", CASE WHEN un > 0 THEN sh / un ELSE 0.0 END AS jaccard, CASE WHEN le > 0 THEN sh / le ELSE 0.0 END AS overlap FROM s""",
+)
+def shared_stats(spark, d):
+    found = metrics.shared_stats(F.col("left_lemmas"), F.col("right_lemmas"))
+    return turns(spark, d).select("pair", *(x.cast("long").alias(k) if k in ("shared", "union") else x.alias(k) for k, x in found.items()))
+
+
+@query("only_on_one_side", f"WITH {TURNS_SQL} SELECT pair, CAST(len(list_filter(list_distinct(x), lambda z: NOT list_contains(y, z))) AS BIGINT) AS only_left, CAST(len(list_filter(list_distinct(y), lambda z: NOT list_contains(x, z))) AS BIGINT) AS only_right FROM p")
+def only_on_one_side(spark, d):
+    a, b = F.col("left_lemmas"), F.col("right_lemmas")
+    return turns(spark, d).select("pair", F.size(F.array_except(a, b)).cast("long").alias("only_left"), F.size(F.array_except(b, a)).cast("long").alias("only_right"))
+
+
+@query(
+    "removed_tokens",
+    f"""WITH {TURNS_SQL}, a AS (SELECT pair, token, count(*) AS n FROM (SELECT pair, unnest(x) AS token FROM p) GROUP BY ALL), b AS (SELECT pair, token, count(*) AS m FROM (SELECT pair, unnest(y) AS token FROM p) GROUP BY ALL)
+    SELECT pair, token, n - coalesce(m, 0) AS removed FROM a LEFT JOIN b USING (pair, token) WHERE n - coalesce(m, 0) > 0""",
+)
+def removed_tokens(spark, d):
+    t = turns(spark, d)
+    return statistics.token_changes(t.select("pair", F.col("left_lemmas").alias("tokens")), t.select("pair", F.col("right_lemmas").alias("tokens")), "pair")
+
+
+@query("edit_distance", f"WITH {TURNS_SQL} SELECT pair, CAST(levenshtein(x[1], y[1]) AS BIGINT) AS distance, {sim_sql('x[1]', 'y[1]')} AS similarity FROM p WHERE len(x) > 0 AND len(y) > 0")
+def edit_distance(spark, d):
+    a, b = F.get("left_lemmas", F.lit(0)), F.get("right_lemmas", F.lit(0))
+    return turns(spark, d).where((F.size("left_lemmas") > 0) & (F.size("right_lemmas") > 0)).select("pair", F.levenshtein(a, b).cast("long").alias("distance"), metrics.term_similarity(a, b).alias("similarity"))
+
+
+@query("alignment")
+def alignment(spark, d):
+    """Local alignments and the soft cosine of neighbouring turns, with what the alignments cover."""
+    found = metrics.with_alignment(turns(spark, d))
+    stats = metrics.alignment_stats(F.col("alignment_a"), F.col("alignment_b"), F.col("left_lemmas"), F.col("right_lemmas"), F.col("sw_score_raw"))
+    return found.select("pair", F.round("soft_cos", 6).alias("soft_cos"), F.round("sw_score_raw", 6).alias("sw_score_raw"), F.round("sw_norm", 6).alias("sw_norm"), *(x.alias(k) for k, x in stats.items()))
+
+
+@query(
+    "tesserae_evidence",
+    f"""WITH {TURNS_SQL}, d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT conv_id, turn, unnest(w) AS term FROM t) GROUP BY term), i AS (SELECT term, ln((SELECT count(*) FROM t) / df) AS idf FROM d)
+    SELECT pair, term, round(idf, 6) AS idf, round(idf / n, 6) AS contribution FROM (SELECT pair, sqrt(len(list_distinct(x)) * len(list_distinct(y))) AS n, unnest(list_intersect(x, y)) AS term FROM p) JOIN i USING (term)""",
+)
+def tesserae_evidence(spark, d):
+    leaves = table(spark, d, "conversations").select(words(F.col("text")).alias("lemmas"))
+    return metrics.tesserae_evidence(turns(spark, d), retrieval.idf_table(leaves), ["pair"]).select("pair", "term", F.round("idf", 6).alias("idf"), F.round("contribution", 6).alias("contribution"))
+
+
+@query(
+    "soft_evidence",
+    f"""WITH {TURNS_SQL}, a AS (SELECT pair, term, count(*) AS n FROM (SELECT pair, unnest(x) AS term FROM p) GROUP BY ALL), b AS (SELECT pair, term, count(*) AS n FROM (SELECT pair, unnest(y) AS term FROM p) GROUP BY ALL)
+    SELECT a.pair, a.term AS left_term, b.term AS right_term, round(a.n * b.n * {sim_sql('a.term', 'b.term')}, 6) AS contribution, a.term = b.term AS exact FROM a JOIN b USING (pair) WHERE {sim_sql('a.term', 'b.term')} > 0""",
+)
+def soft_evidence(spark, d):
+    return metrics.soft_evidence(turns(spark, d), ["pair"]).select("pair", "left_term", "right_term", F.round("contribution", 6).alias("contribution"), "exact")
+
+
+@query(
+    "vector_distance",
+    """WITH a AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM conversations WHERE role = 'user'), b AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM conversations WHERE role <> 'user'),
+    x AS (SELECT term, count(*) AS n FROM a GROUP BY term), y AS (SELECT term, count(*) AS m FROM b GROUP BY term), s AS (SELECT sum(coalesce(n, 0) * coalesce(m, 0)) AS ab, sum(coalesce(n, 0) ** 2) AS aa, sum(coalesce(m, 0) ** 2) AS bb FROM x FULL JOIN y USING (term))
+    SELECT round(1.0 - ab / (sqrt(aa) * sqrt(bb)), 9) AS distance FROM s""",
+)
+def vector_distance(spark, d):
+    t = table(spark, d, "conversations").select("role", F.explode(words(F.col("text"))).alias("word"))
+    a, b = (cooccurrence.word_counts(t.where(x)) for x in ("role = 'user'", "role <> 'user'"))
+    return metrics.vector_distance(a, b).select(F.round("distance", 9).alias("distance"))
+
+
+@query("scoring_gate", "SELECT count(*) AS pairs, CAST(sum(CASE WHEN c + 0.5 * t > 0.3 * 1.5 THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM (SELECT p_size / 50.0 AS c, p_retailprice / 2000.0 AS t FROM part)")
+def scoring_gate(spark, d):
+    rows = table(spark, d, "part").select((F.col("p_size") / 50.0).alias("cos_sim"), (F.col("p_retailprice") / 2000.0).alias("tesserae"))
+    return statistics.scoring_summary(rows, 0.5, 0.3, 1.5).select("pairs", "passed")
+
+
+# --- Pareto layers and ranks ---------------------------------------------------------------
+
+#: Four measures of every customer, some of them equal.
+POINTS_SQL = "pt AS (SELECT c_custkey AS id, c_nationkey AS grp, CAST(floor(c_acctbal / 500) AS DOUBLE) AS cos_sim, CAST(c_custkey * 7 % 31 AS DOUBLE) AS tesserae, CAST(c_custkey * 13 % 29 AS DOUBLE) AS soft_cos, CAST(c_nationkey AS DOUBLE) AS sw_norm FROM customer)"
+
+
+def points(spark, d) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select(
+        key.alias("id"), F.col("c_nationkey").alias("grp"), F.floor(F.col("c_acctbal") / 500).cast("double").alias("cos_sim"), (key * 7 % 31).cast("double").alias("tesserae"),
+        (key * 13 % 29).cast("double").alias("soft_cos"), F.col("c_nationkey").cast("double").alias("sw_norm"),
+    )
+
+
+def layer_sql(source: str, metrics_: tuple[str, ...], same: str = "TRUE") -> str:
+    ge = " AND ".join(f"a.{m} >= b.{m}" for m in metrics_)
+    gt = " OR ".join(f"a.{m} > b.{m}" for m in metrics_)
+    return f"SELECT b.* FROM {source} b WHERE NOT EXISTS (SELECT 1 FROM {source} a WHERE {same} AND {ge} AND ({gt}))"
+
+
+FOUR, TWO = ("cos_sim", "tesserae", "soft_cos", "sw_norm"), ("tesserae", "sw_norm")
+PARETO_SQL = f"{POINTS_SQL}, l1 AS ({layer_sql('pt', FOUR)}), r1 AS (SELECT * FROM pt WHERE id NOT IN (SELECT id FROM l1)), l2 AS ({layer_sql('r1', FOUR)}), r2 AS (SELECT * FROM r1 WHERE id NOT IN (SELECT id FROM l2)), l3 AS ({layer_sql('r2', FOUR)}), pl AS (SELECT *, 1 AS layer FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)"
+
+
+@query("pareto_layers", f"WITH {PARETO_SQL} SELECT id, CAST(layer AS INTEGER) AS pareto_layer, layer = 1 AS pareto_on_front FROM pl")
+def pareto_layers(spark, d):
+    return pareto.pareto_layers(points(spark, d), 3).select("id", "pareto_layer", "pareto_on_front")
+
+
+@query("pareto_layers_native", f"WITH {PARETO_SQL} SELECT id, CAST(layer AS INTEGER) AS pareto_layer, layer = 1 AS pareto_on_front FROM pl")
+def pareto_layers_native(spark, d):
+    return pareto.pareto_layers_native(points(spark, d), 3, ["id"]).select("id", "pareto_layer", "pareto_on_front")
+
+
+@query(
+    "pareto_2d",
+    f"WITH {POINTS_SQL}, l1 AS ({layer_sql('pt', TWO, 'a.grp % 3 = b.grp % 3')}), r1 AS (SELECT * FROM pt WHERE id NOT IN (SELECT id FROM l1)), l2 AS ({layer_sql('r1', TWO, 'a.grp % 3 = b.grp % 3')}) SELECT id, CAST(1 AS INTEGER) AS pareto_layer FROM l1 UNION ALL SELECT id, 2 FROM l2",
+)
+def pareto_2d(spark, d):
+    """Two measures, apart in three groups."""
+    rows = points(spark, d).withColumn("third", F.col("grp") % 3)
+    return pareto.pareto_layers(rows, 2, TWO, by=["third"]).select("id", "pareto_layer")
+
+
+@query("front_curve", f"WITH {PARETO_SQL} SELECT CAST(layer AS INTEGER) AS pareto_layer, tesserae, max(sw_norm) AS sw_norm FROM pl GROUP BY layer, tesserae")
+def front_curve(spark, d):
+    return pareto.front_curve(pareto.pareto_layers(points(spark, d), 3), "tesserae", "sw_norm")
+
+
+RANKED_SQL = f"""{PARETO_SQL}, k AS (SELECT *, row_number() OVER (ORDER BY cos_sim DESC, id) AS rank_cos, row_number() OVER (ORDER BY tesserae DESC, id) AS rank_tess, row_number() OVER (ORDER BY soft_cos DESC, id) AS rank_soft, row_number() OVER (ORDER BY sw_norm DESC, id) AS rank_sw FROM pl),
+m AS (SELECT *, rank_cos + rank_tess + rank_soft + rank_sw AS rank_sum FROM k), rk AS (SELECT *, row_number() OVER (ORDER BY rank_sum, tesserae DESC, sw_norm DESC, soft_cos DESC, cos_sim DESC, id) AS pos FROM m)"""
+
+
+def ranked(spark, d) -> DataFrame:
+    return ranking.rank_aggregate(pareto.pareto_layers(points(spark, d), 3), ties=("id",), ids=("id",))
+
+
+@query("rank_aggregate", f"WITH {RANKED_SQL} SELECT id, CAST(rank_cos AS INTEGER) AS rank_cos, CAST(rank_tess AS INTEGER) AS rank_tess, CAST(rank_soft AS INTEGER) AS rank_soft, CAST(rank_sw AS INTEGER) AS rank_sw, CAST(rank_sum AS INTEGER) AS rank_sum, CAST(pos AS INTEGER) AS rank_final_position, 1.0 / pos AS rank_score FROM rk")
+def rank_aggregate(spark, d):
+    return ranked(spark, d).select("id", *ranking.RANKS.values(), "rank_sum", "rank_final_position", "rank_score")
+
+
+@query(
+    "borda",
+    f"""WITH {POINTS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cos_sim DESC, id) + row_number() OVER (PARTITION BY grp ORDER BY tesserae DESC, id) + row_number() OVER (PARTITION BY grp ORDER BY soft_cos DESC, id) + row_number() OVER (PARTITION BY grp ORDER BY sw_norm DESC, id) AS s, count(*) OVER (PARTITION BY grp) AS n FROM pt)
+    SELECT id, CAST(s AS BIGINT) AS rank_sum, s / 4.0 AS rank_mean, CAST((n + 1) * 4 - s AS BIGINT) AS rank_borda, CAST(row_number() OVER (PARTITION BY grp ORDER BY s, (n + 1) * 4 - s DESC, s / 4.0, tesserae DESC, sw_norm DESC, soft_cos DESC, cos_sim DESC, id) AS INTEGER) AS rank_final_position FROM k""",
+)
+def borda(spark, d):
+    out = ranking.borda(points(spark, d), by=("grp",), ties=("id",))
+    return out.select("id", F.col("rank_sum").cast("long").alias("rank_sum"), "rank_mean", F.col("rank_borda").cast("long").alias("rank_borda"), "rank_final_position")
+
+
+@query("report_top", f"WITH {POINTS_SQL} SELECT id, soft_cos - tesserae AS difference FROM pt ORDER BY soft_cos - tesserae DESC, id LIMIT 25")
+def report_top(spark, d):
+    return ranking.report_top(points(spark, d), 25, "soft-tess", ids=("id",)).select("id", (F.col("soft_cos") - F.col("tesserae")).alias("difference"))
+
+
+@query("strategy_summary", f"WITH {RANKED_SQL} SELECT count(*) AS pairs, avg(CASE WHEN layer = 1 THEN 1.0 ELSE 0.0 END) AS on_front, avg(CASE WHEN pos = 1 THEN 1.0 ELSE 0.0 END) AS first, round(avg(layer), 9) AS mean_layer, round(avg(cos_sim), 9) AS mean_cos_sim FROM rk")
+def strategy_summary(spark, d):
+    return statistics.strategy_summary(ranked(spark, d)).select("pairs", "on_front", "first", F.round("mean_layer", 9).alias("mean_layer"), F.round("mean_cos_sim", 9).alias("mean_cos_sim"))
+
+
+# --- edges and graphs -------------------------------------------------------------------------
+
+DETAIL_SQL = "de AS (SELECT 'n' || c_nationkey AS left_node, c_mktsegment AS right_node, c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS pos FROM customer)"
+
+
+def detail(spark, d) -> DataFrame:
+    """A ranked row for each customer, between its nation and its segment."""
+    rows = table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("left_node"), F.col("c_mktsegment").alias("right_node"), F.col("c_custkey").cast("string").alias("id"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank_final_position"))
+    ids = {c: F.col("id") for c in ("left_leaf_id", "right_leaf_id", "left_parent_id", "right_parent_id", "left_corpus", "right_corpus")}
+    numbers = {c: F.col("rank_final_position") * 1.0 for c in ("tesserae", "soft_cos", "sw_norm", "cos_sim")}
+    return rows.withColumns({**ids, **numbers, "rank_score": 1.0 / F.col("rank_final_position"), "right_doc_no": F.lit(None).cast("int"), "pareto_layer": F.lit(1)})
+
+
+@query("aggregate_edges", f"WITH {DETAIL_SQL} SELECT left_node, right_node, round(sum(1.0 / pos), 9) AS weight, count(*) AS hit_count, CAST(min(pos) AS INTEGER) AS best_rank, CAST(arg_min(id, pos) AS VARCHAR) AS best_left_leaf_id FROM de GROUP BY ALL HAVING count(*) >= 3")
+def aggregate_edges(spark, d):
+    out = edges.aggregate_edges(detail(spark, d), weight_mode="sum", min_hits=3)
+    return out.select("left_node", "right_node", F.round("weight", 9).alias("weight"), "hit_count", "best_rank", "best_left_leaf_id")
+
+
+@query("top_edges", f"WITH {DETAIL_SQL} SELECT left_node, right_node, max(1.0 / pos) AS weight, count(*) AS hit_count FROM de GROUP BY ALL ORDER BY max(1.0 / pos) DESC, min(pos), left_node, right_node LIMIT 30")
+def top_edges(spark, d):
+    return edges.top_edges(edges.aggregate_edges(detail(spark, d)), 30).select("left_node", "right_node", "weight", "hit_count")
+
+
+LINKS_SQL = "li AS (SELECT l_suppkey % 40 AS u, l_partkey % 40 AS v, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL)"
+
+
+def links(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 40).alias("u"), (F.col("l_partkey") % 40).alias("v")).agg(F.sum("l_quantity").alias("weight"))
+
+
+@query("collapse_undirected", f"WITH {LINKS_SQL} SELECT least(u, v) AS u, greatest(u, v) AS v, sum(weight) AS weight FROM li WHERE u <> v GROUP BY ALL")
+def collapse_undirected(spark, d):
+    return edges.collapse_undirected(links(spark, d))
+
+
+@query("weighted_degree", f"WITH {LINKS_SQL}, c AS (SELECT u, v, weight FROM li WHERE u <> v) SELECT node, sum(weight) AS degree FROM (SELECT u AS node, weight FROM c UNION ALL SELECT v, weight FROM c) GROUP BY node")
+def weighted_degree(spark, d):
+    return edges.weighted_degree(edges.collapse_undirected(links(spark, d)))
+
+
+@query("emphasised_edges", f"WITH {LINKS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY weight DESC, u, v) AS k, min(weight) OVER () AS a, max(weight) OVER () AS b FROM li) SELECT u, v, CASE WHEN k <= 3 THEN 4.0 ELSE 1.5 END AS width, round(1.5 + (weight - a) / (b - a) * 5.0, 9) AS thickness FROM r")
+def emphasised_edges(spark, d):
+    out = edges.with_thickness(edges.emphasised(links(spark, d).select("u", "v", "weight")))
+    return out.select("u", "v", "width", F.round("thickness", 9).alias("thickness"))
+
+
+@query("nodes_without_isolates", f"WITH {LINKS_SQL} SELECT DISTINCT n_nationkey AS node FROM nation WHERE n_nationkey IN (SELECT u FROM li WHERE u <> v UNION SELECT v FROM li WHERE u <> v)")
+def nodes_without_isolates(spark, d):
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
+    return edges.without_isolates(nodes, links(spark, d).where("u <> v"))
+
+
+@query(
+    "shortest_paths",
+    """WITH RECURSIVE e AS (SELECT least(c_nationkey, k) AS u, greatest(c_nationkey, k) AS v, count(*) AS weight FROM (SELECT c_nationkey, CAST(c_custkey % 25 AS INTEGER) AS k FROM customer WHERE abs(c_nationkey - c_custkey % 25) BETWEEN 1 AND 2) GROUP BY ALL),
+    s AS (SELECT u AS a, v AS b, 1.0 / weight AS d FROM e UNION ALL SELECT v, u, 1.0 / weight FROM e),
+    p(source, target, distance, hops) AS (SELECT a, b, CAST(d AS DOUBLE), 1 FROM s UNION SELECT source, target, min(distance), any_value(hops) FROM (SELECT p.source, s.b AS target, p.distance + s.d AS distance, p.hops + 1 AS hops FROM p JOIN s ON p.target = s.a WHERE p.hops < 24) GROUP BY source, target),
+    z AS (SELECT source, target, min(distance) AS distance FROM p WHERE source <> target GROUP BY ALL) SELECT source, target, round(distance, 9) AS distance FROM z""",
+)
+def shortest_paths(spark, d):
+    """Paths between nations whose customers' keys come near each other."""
+    k = (F.col("c_custkey") % 25).cast("int")
+    rows = table(spark, d, "customer").where(F.abs(F.col("c_nationkey") - k).between(1, 2)).select(F.col("c_nationkey").alias("a"), k.alias("b"))
+    e = rows.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("weight"))
+    return edges.shortest_paths(spark, e).where("source <> target").withColumn("distance", F.round("distance", 9))
+
+
+@query("nodes_with_defaults", "SELECT n.n_name AS node_id, coalesce(r.r_name, 'region ' || n.n_regionkey) AS legend_label, CASE WHEN r.r_name IS NULL THEN '#999999' ELSE '#' || lpad(CAST(r.r_regionkey AS VARCHAR), 6, '0') END AS color FROM nation n LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) r ON n.n_regionkey = r.r_regionkey")
+def nodes_with_defaults(spark, d):
+    """Nations as nodes of their regions; regions that aren't registered are grey and go by their own id."""
+    name = F.concat(F.lit("region "), F.col("n_regionkey"))
+    leaves = table(spark, d, "nation").select(F.lit("left").alias("side"), name.alias("corpus"), F.col("n_name").alias("leaf_id"), F.col("n_name").alias("parent_id"), F.col("n_nationkey").alias("pos"))
+    known = table(spark, d, "region").where("r_regionkey < 3").select(F.concat(F.lit("region "), F.col("r_regionkey")).alias("corpus"), F.col("r_name").alias("display"), F.concat(F.lit("#"), F.lpad(F.col("r_regionkey").cast("string"), 6, "0")).alias("color"))
+    order = leaves.select("corpus").distinct().withColumn("group_order", F.lit(0))
+    return edges.node_table(leaves, known, "parent", "left", order).select("node_id", "legend_label", "color")
+
+
+@query("registry_differences", "WITH a AS (SELECT DISTINCT source AS name FROM documents), b AS (SELECT name FROM a WHERE name <> 'src3' UNION SELECT 'other') SELECT name, 'b' AS missing_in FROM a WHERE name NOT IN (SELECT name FROM b) UNION SELECT name, 'a' FROM b WHERE name NOT IN (SELECT name FROM a)")
+def registry_differences(spark, d):
+    a = table(spark, d, "documents").select(F.col("source").alias("name")).distinct()
+    b = a.where("name <> 'src3'").union(spark.createDataFrame([("other",)], "name string"))
+    return statistics.registry_differences(a=a, b=b)
+
+
+# --- summaries ----------------------------------------------------------------------------------
+
+
+@query("segment_statistics", r"""WITH s AS (SELECT source AS corpus, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS w, length(text) AS c FROM documents) SELECT corpus, count(*) AS segments, CAST(min(w) AS BIGINT) AS min_words, median(w) AS median_words, CAST(max(w) AS BIGINT) AS max_words, CAST(min(c) AS BIGINT) AS min_chars, median(c) AS median_chars, CAST(max(c) AS BIGINT) AS max_chars FROM s GROUP BY corpus""")
+def segment_statistics(spark, d):
+    rows = statistics.segment_statistics(table(spark, d, "documents").withColumnRenamed("source", "corpus"))
+    return rows.select("corpus", "segments", *(F.col(c).cast("double" if "median" in c else "long").alias(c) for c in rows.columns[2:]))
+
+
+@query("summaries", "SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 9) AS mean, median(l_quantity) AS median, max(l_quantity) AS max, quantile_cont(l_quantity, 0.9) AS p90, quantile_cont(l_quantity, 0.95) AS p95 FROM lineitem GROUP BY l_returnflag")
+def summaries(spark, d):
+    return statistics.summary(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"]).withColumn("mean", F.round("mean", 9))
+
+
+CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("correlations", " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round(coalesce(corr({a}, {b}), 0.0), 6) AS r FROM lineitem" for i, a in enumerate(CORR) for b in CORR[i + 1 :]))
+def correlations(spark, d):
+    return statistics.correlations(table(spark, d, "lineitem"), CORR).withColumn("r", F.round("r", 6))
+
+
+@query("top_corpus_pairs", f"WITH {SIM_SQL} SELECT left_corpus, right_corpus, count(*) AS pairs FROM s GROUP BY ALL ORDER BY count(*) DESC, left_corpus, right_corpus LIMIT 20")
+def top_corpus_pairs(spark, d):
+    return statistics.top_corpus_pairs(found_pairs(spark, d))
+
+
+@query("zone_samples", "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id, CASE WHEN i <= 3 THEN 'first' WHEN i > n - 3 THEN 'last' ELSE 'middle' END AS zone FROM r WHERE i <= 3 OR i > n - 3 OR (i > floor((n - 3) / 2) AND i <= floor((n - 3) / 2) + 3)")
+def zone_samples(spark, d):
+    return statistics.zones(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 3)
+
+
+NEIGHBOURS_SQL = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS i FROM documents), n AS (SELECT w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM t), c AS (SELECT w1, w2, count(*) AS n FROM (SELECT a AS w1, b AS w2 FROM n WHERE b IS NOT NULL UNION ALL SELECT b, a FROM n WHERE b IS NOT NULL) GROUP BY ALL)"
+
+
+def neighbours(spark, d) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+    return cooccurrence.neighbour_counts(t, ["doc_id"])
+
+
+@query("cooccurrence", f"WITH {NEIGHBOURS_SQL} SELECT w1, w2, n FROM c WHERE n >= 10")
+def cooccurrence_counts(spark, d):
+    return neighbours(spark, d).where("n >= 10")
+
+
+@query("strongest_pairs", f"WITH {NEIGHBOURS_SQL} SELECT least(w1, w2) AS a, greatest(w1, w2) AS b, max(n) AS n FROM c GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 50")
+def strongest_pairs(spark, d):
+    return cooccurrence.strongest(neighbours(spark, d), 50)
+
+
+@query("colours", "SELECT n_nationkey, [n_nationkey * 10 % 256, n_nationkey * 7 % 256, n_nationkey * 3 % 256] AS rgb, [153, 153, 153] AS bad FROM nation")
+def colours(spark, d):
+    k = F.col("n_nationkey")
+    color = F.concat(F.lit("#"), *(F.lpad(F.lower(F.hex((k * m % 256).cast("long"))), 2, "0") for m in (10, 7, 3)))
+    return table(spark, d, "nation").select("n_nationkey", C.rgb(color).alias("rgb"), C.rgb(F.lit("#12")).alias("bad"))
+
+
+# --- the whole ------------------------------------------------------------------------------------
+
+
+def borrowings(spark, d) -> DataFrame:
+    """Which documents borrow from which passages: search, four measures, layers, ranks and edges between passages and documents."""
+    leaves = stored(spark, passages(spark, d), "leaves")
+    found = chosen(spark, d)
+    rows = metrics.pair_metrics(found, leaves, retrieval.idf_table(leaves)).withColumnsRenamed({"left_id": "left_leaf_id", "right_id": "right_leaf_id"})
+    rows = rows.withColumns({"left_parent_id": F.col("left_leaf_id"), "right_parent_id": F.col("right_leaf_id"), "left_node": F.col("left_leaf_id"), "right_node": F.col("right_leaf_id"), "right_doc_no": F.lit(None).cast("int")})
+    kept = pareto.pareto_layers(rows, 5)
+    return edges.aggregate_edges(ranking.rank_aggregate(kept, ids=("left_leaf_id", "right_leaf_id")))
+
+
+@query("borrowings")
+def borrowings_query(spark, d):
+    return borrowings(spark, d)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return borrowings(spark, sf_dir)
