@@ -56,11 +56,12 @@ def _new(languages: list[str], units: int, seed: int) -> Network:
 def _learn(net: Network, symbols: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean loss over all positions and its gradients, by backpropagation through time.
 
-    ``symbols`` is (time, windows); every position that holds a byte is to name its window's language.
+    ``symbols`` is (time, windows); every position that holds a byte is to name its window's language. States are zero beyond a window's
+    end, so either direction begins at its first byte there.
     """
     time, batch = symbols.shape
     h = net.turn[0].shape[0]
-    states, kept = [], []
+    states, kept, here = [], [], (symbols != PAD)[:, :, None].astype(np.float32)
     for way in (0, 1):
         state, outs, steps_ = np.zeros((batch, h), np.float32), [None] * time, [None] * time
         for t in range(time) if way == 0 else range(time - 1, -1, -1):
@@ -69,7 +70,7 @@ def _learn(net: Network, symbols: np.ndarray, target: np.ndarray) -> tuple[float
             inner = u[:, 2 * h :] + net.bias[way]
             n = np.tanh(x[:, 2 * h :] + r * inner)
             steps_[t] = (state, z, r, inner, n)
-            state = n + z * (state - n)
+            state = (n + z * (state - n)) * here[t]
             outs[t] = state
         states.append(np.stack(outs))
         kept.append(steps_)
@@ -93,7 +94,7 @@ def _learn(net: Network, symbols: np.ndarray, target: np.ndarray) -> tuple[float
         dx_all = np.empty((time, batch, 3 * h), np.float32)
         for t in range(time - 1, -1, -1) if way == 0 else range(time):
             state, z, r, inner, n = kept[way][t]
-            carry = carry + back[t][:, way * h : (way + 1) * h]
+            carry = (carry + back[t][:, way * h : (way + 1) * h]) * here[t]
             dn = carry * (1 - z) * (1 - n * n)
             dz = carry * (state - n) * z * (1 - z)
             dr = dn * inner * r * (1 - r)
@@ -137,25 +138,29 @@ def train(windows: list[bytes], labels: list[str], units: int = UNITS, batch: in
     return net
 
 
-def position_probabilities(net: Network, symbols: np.ndarray) -> Iterator[np.ndarray]:
+def position_probabilities(net: Network, symbols: np.ndarray, active: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """For each time of (time, windows) symbols, the probabilities of (languages, windows) there.
 
-    Units are rows here, so that every gate is one run of memory. The halves
+    Windows fall in length: at time t the first ``active[t]`` have a byte, and only those are worked on, so that a window's numbers
+    don't depend on its neighbours. Units are rows here, so that every gate is one run of memory. The halves
     that a sigmoid by tanh needs are in the weights already.
     """
     time, batch = symbols.shape
     h = net.turn[0].shape[0]
     half = np.array([0.5] * (2 * h) + [1.0] * h, np.float32)
-    logits = np.empty((time, len(net.languages), batch), np.float32)
-    x, u, n = np.empty((3 * h, batch), np.float32), np.empty((3 * h, batch), np.float32), np.empty((h, batch), np.float32)
+    logits = np.zeros((time, len(net.languages), batch), np.float32)
+    room = [np.empty((rows, batch), np.float32) for rows in (3 * h, 3 * h, h)]
     for way in (0, 1):
         embed, turn = (np.ascontiguousarray((w * half).T) for w in (net.embed[way], net.turn[way]))
         head, bias = np.ascontiguousarray(net.head[way * h : (way + 1) * h].T), net.bias[way][:, None]
-        state = np.zeros((h, batch), np.float32)
-        gates, fresh = x[: 2 * h], u[2 * h :]
+        whole = np.zeros((h, batch), np.float32)
         for t in range(time) if way == 0 else range(time - 1, -1, -1):
-            np.take(embed, symbols[t], axis=1, out=x, mode="clip")
+            k = batch if active is None else int(active[t])
+            x, u, n = room if k == batch else (np.empty((rows, k), np.float32) for rows in (3 * h, 3 * h, h))
+            state = whole[:, :k]
+            np.take(embed, symbols[t, :k], axis=1, out=x, mode="clip")
             np.dot(turn, state, out=u)
+            gates, fresh = x[: 2 * h], u[2 * h :]
             gates += u[: 2 * h]
             np.tanh(gates, out=gates)
             gates *= 0.5
@@ -167,10 +172,7 @@ def position_probabilities(net: Network, symbols: np.ndarray) -> Iterator[np.nda
             state -= n
             state *= gates[:h]
             state += n
-            if way == 0:
-                np.dot(head, state, out=logits[t])
-            else:
-                logits[t] += head @ state
+            logits[t, :, :k] += head @ state
     logits += net.shift[:, None]
     logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
@@ -197,9 +199,9 @@ def document_probabilities(net: Network, data: np.ndarray, ends: np.ndarray, win
         n = length[own]
         places = np.arange(int(n.max()))[:, None]
         symbols = np.where(places < n, padded[begin[own] + places], PAD).astype(np.intp)
-        for t, p in enumerate(position_probabilities(net, symbols)):
-            upto = int(np.searchsorted(-n, -t, "left"))  # lengths fall: those above t
-            sums[own[:upto]] += p[:, :upto].T
+        active = np.searchsorted(-n, -np.arange(int(n.max())), "left")  # those longer than t
+        for k, p in zip(active.tolist(), position_probabilities(net, symbols, active), strict=True):
+            sums[own[:k]] += p[:, :k].T
     out = np.zeros((len(sizes), len(net.languages)))
     np.add.at(out, doc, sums)
     return out / np.maximum(sizes, 1)[:, None]
@@ -256,7 +258,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
             else:
                 p = document_probabilities(net, *utf8(batch.column(text)))
                 found = [net.languages[k] if x else "und" for k, x in zip(p.argmax(1).tolist(), letter.tolist(), strict=True)]
-                score = np.where(letter, np.clip(p.max(1), 0, 1), 0.0)
+                score = np.where(letter, np.round(np.clip(p.max(1), 0, 1), 6), 0.0)
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
 
