@@ -28,6 +28,9 @@ SIGNATURE = [f"p{i}" for i in range(PARITIES)]
 #: Up to so many sets that share a token are paired outright; a larger bucket is searched around its first sets before.
 SMALL = 8
 
+#: Rounds in which members that are left over are held against others of their bucket, against how many each, and in how many buckets.
+ROUNDS, LEADERS, BUCKETS = 2, 6, 4
+
 #: As many ids are sent to every executor (8 bytes each); more are joined by key.
 BROADCAST_IDS = 1 << 20
 
@@ -324,9 +327,9 @@ def jaccard_components(
 
     What the search finds must also pass by size and by signatures of parities, which rule out only pairs that can't link, before texts are read.
 
-    A bucket of many sets isn't paired outright: each set is held against the bucket's first of about its size, and only where
-    a large bucket still spans several components are its members of different components paired, so a
-    group of near copies costs about as many pairs as it has members, and no link is lost.
+    A bucket of many sets isn't paired outright: each set is held against the bucket's first of about its size, and where
+    a large bucket still spans several components, those outside the usual one against a few of that. Only what is in different components even
+    then is paired in full, so a group of near copies costs about as many pairs as it has members, and no link is lost.
 
     Null and empty texts have no shingles and link with nothing. Rows with equal ids are one document, with the links of any of them; a row
     without an id gets its set's component but never names one. An empty table gives no rows, and other columns are ignored.
@@ -354,13 +357,43 @@ def jaccard_components(
     labels = connected_components(spark, links)
 
     # what large buckets leave open: those whose members are in several components
-    members = found.where("kind = 2").select("ord", "token", F.col("a1").alias("f1"), F.col("a2").alias("f2")).join(first, ["f1", "f2"])
-    members = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node", "f1", "f2")
+    members = found.where("kind = 2").select("ord", "token", F.col("a1").alias("f1"), F.col("a2").alias("f2")).join(first, ["f1", "f2"]).drop("f1", "f2")
     members = stored(spark, members, "members")
-    usual = members.groupBy("token", "component").agg(F.count("*").alias("_k")).groupBy("token").agg(F.max_by("component", F.struct("_k", "component")).alias("_usual"), F.count("*").alias("_parts"))
-    split = stored(spark, members.join(usual.where("_parts > 1"), "token"), "split-buckets")
+
+    def split_buckets(labels: DataFrame) -> DataFrame:
+        """Members of those buckets, with their component and the bucket's ``_usual``, the one with most members."""
+        now = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+        sizes = now.groupBy("token", "component").agg(F.count("*").alias("_k")).groupBy("token")
+        usual = sizes.agg(F.max_by("component", F.struct("_k", "component")).alias("_usual"), F.count("*").alias("_parts")).where("_parts > 1")
+        return stored(spark, now.join(usual.drop("_parts"), "token"), "split-buckets")
+
+    def probes(split: DataFrame) -> DataFrame:
+        """Each member outside its bucket's usual component with a few of that component, the same few wherever they are together."""
+        few = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(LEADERS)]
+        leaders = split.where("component = _usual").groupBy("token").agg(F.array(*few).alias("leaders"))
+        own = split.where("component <> _usual").groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("token")), 1, BUCKETS).alias("tokens")).select("rep", F.explode("tokens").alias("token"))
+        pairs = own.join(leaders, "token").select("rep", F.explode("leaders").alias("other"))
+        return pairs.select(F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")).distinct()
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        rows = first.select("rep", "n", *SIGNATURE)
+        both = pairs.join(rows.alias("a"), F.col("u") == F.col("a.rep")).join(rows.alias("b"), F.col("v") == F.col("b.rep"))
+        return both.where(may_link("a.n", "b.n", "a", "b", percent)).select("u", "v")
+
+    split = split_buckets(labels)
+    for _ in range(ROUNDS):
+        if not split.limit(1).count():
+            break
+        fresh = stored(spark, passing(probes(split)).join(pairs, ["u", "v"], "left_anti"), "probes")
+        more = verified(spark, fresh, docs, id_col, text_col, size, percent)
+        pairs = pairs.union(fresh)
+        if not more.limit(1).count():
+            break
+        links = links.union(more)
+        labels = connected_components(spark, links)
+        split = split_buckets(labels)
     if split.limit(1).count():
-        # each member outside a bucket's largest component is held against those of other components
+        # then nothing is left out: each member outside a bucket's usual component is held against all of other components
         across = split.where("component <> _usual").alias("a").join(split.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND a.rep <> b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} AND {may_link('a.n', 'b.n', 'a', 'b', percent)}"))
         across = across.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"), F.expr("shiftleft(1, cast(a.ord AS int))").alias("bits"))
         rest = across.union(named(small)).groupBy("u", "v").agg(F.bit_or("bits").alias("bits")).where(F.col("bits") == all_orders).select("u", "v")
