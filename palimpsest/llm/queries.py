@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.jaccard import op10_jaccard
+from palimpsest.llm.jaccard import OP10_SQL, op10_jaccard
 from palimpsest.llm.language import op1_language
 from palimpsest.llm.licenses import op4_licenses
 from palimpsest.llm.media import op5_media
@@ -15,7 +15,7 @@ from palimpsest.llm.packing import op9_packing
 from palimpsest.llm.quality import op2_quality
 from palimpsest.llm.sharding import op7_sharding
 from palimpsest.llm.topk import OP3_SQL, op3_topk
-from palimpsest.llm.warc import op6_warc
+from palimpsest.llm.warc import OP6_SQL, op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLES: dict[str, str] = {"op3_topk": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_topk": OP3_SQL, "op6_warc": OP6_SQL, "op10_jaccard": OP10_SQL}

@@ -193,3 +193,12 @@ def read_records(spark: SparkSession, index: DataFrame, with_payload: bool = Tru
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read_records(spark, index, with_payload=False).drop("url", "payload")
+
+
+OP6_SQL = """
+WITH s AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS owner FROM s WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner IS DISTINCT FROM page_id AND owner IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN owner IS DISTINCT FROM page_id THEN owner END AS refers_to
+FROM s LEFT JOIN o USING (payload_digest)
+"""

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from cases import ROWS, documents, nothing
+from compare import duck_rows, spark_rows
 
 from palimpsest.llm import jaccard as J
 from palimpsest.llm.arrow import utf8
@@ -121,3 +122,7 @@ def test_shingles():
     got = [tuple(s[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
     assert [len(x) for x in got] == [2, 2, 1, 1, 1, 0, 0, 1, 3]
     assert got[0] == got[1] and got[2] == got[3] and len({got[2], got[4], got[7]}) == 3
+
+
+def test_sql(spark, sf):
+    assert spark_rows(J.op10_jaccard(spark, sf)) == duck_rows(J.OP10_SQL, sf)

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from compare import duck_rows, spark_rows
 
 from palimpsest.llm import warc as W
 
@@ -66,3 +67,7 @@ def test_records_are_gzip_members_of_their_own(tmp_path):
 def test_query(spark, sf):
     rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sorted((tuple(r[c] for c in COLUMNS) for r in W.op6_warc(spark, sf).collect()), key=repr) == want(rows)
+
+
+def test_sql(spark, sf):
+    assert spark_rows(W.op6_warc(spark, sf)) == duck_rows(W.OP6_SQL, sf)
