@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one step of an operator holds at a time (a longer document is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+
+#: Rows that go to a Python worker at once, where the session has Spark's default, which suits narrow rows.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The frame, whose session from now on sends rows with whole texts in batches of bounded size, unless it has a setting of its own."""
+    conf = frame.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return frame
+
+
+def release() -> None:
+    """Give memory back between tasks: workers stay, and the next stage may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,3 +56,4 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()

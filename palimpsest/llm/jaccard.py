@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 from palimpsest.operators.components import connected_components
 from palimpsest.workspace import stored
 
@@ -28,6 +28,9 @@ SIGNATURE = [f"p{i}" for i in range(PARITIES)]
 #: Up to so many sets that share a token are paired outright; a larger bucket is searched around its first sets before.
 SMALL = 8
 
+#: Rows of postings that are looked at together.
+GATHERED = 1 << 14
+
 #: Rounds in which members that are left over are held against others of their bucket, against how many each, and in how many buckets.
 ROUNDS, LEADERS, BUCKETS = 2, 6, 4
 
@@ -143,7 +146,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(used.astype(np.int32)), pa.array([_packed(x) for x in flat[used]], pa.binary())], names=names)
 
     names = ["doc_id", "n", "f1", "f2", *SIGNATURE, "chunk", "counts"]
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(run, f"doc_id long, n long, f1 long, f2 long, {', '.join(f'{x} long' for x in SIGNATURE)}, chunk int, counts binary")
 
 
@@ -276,13 +279,14 @@ def paired(found: DataFrame, percent: int) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if "held" in state:
-                rows = [np.concatenate([a, b]) for a, b in zip(state.pop("held"), rows, strict=True)]
-            yield from process(state, rows, False)
-        if "held" in state:
-            yield from process(state, state.pop("held"), True)
+            parts.append([c.to_numpy() for c in batch.columns])
+            if sum(len(x[0]) for x in parts) >= GATHERED:
+                rows, parts = [np.concatenate(c) for c in zip(*([state.pop("held")] if "held" in state else []), *parts, strict=True)], []
+                yield from process(state, rows, False)
+        if parts or "held" in state:
+            yield from process(state, [np.concatenate(c) for c in zip(*([state.pop("held")] if "held" in state else []), *parts, strict=True)], True)
 
     columns = ["kind", "ord", "token", "na", "a1", "a2", "nb", "b1", "b2"]
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))

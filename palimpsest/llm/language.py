@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 
 #: Documents of each language that are learned from, windows of each, and bytes of a window then: the bounds of the sample.
 DOCUMENTS, WINDOWS, LEARNED = 400, 6, 64
@@ -247,7 +247,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     text = text_col if text_col in keep else "__text"
     given = F.col(f"`{text_col}`").cast("string")
     has_letter = F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias("__letter")
-    slim = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text == text_col else [given.alias(text)]), has_letter)
+    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text == text_col else [given.alias(text)]), has_letter)
     schema = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

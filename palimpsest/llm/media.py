@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -150,7 +150,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 [batch.column(id_col), pa.array(np.diff(ends), pa.int64()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "media"]
             )
 
-    slim = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    slim = small_batches(docs).select(id_col, F.col(text_col).cast("string").alias(text_col))
     return slim.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 

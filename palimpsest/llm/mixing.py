@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 from palimpsest.operators.ordering import with_running_totals
 from palimpsest.workspace import stored
 
@@ -167,7 +167,7 @@ def mixed_rows(spark: SparkSession, docs: DataFrame, text_col: str = "text", len
 
     Such a row's text goes from the run's first word to its last, and ``length_col``, where there is one, is its length.
     """
-    columns = docs.columns
+    columns = small_batches(docs).columns
     found = mix_sources(spark, docs, text_col=text_col, carry=tuple(columns), **options).select("passes", "spans", *(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(columns)))
     text, length = f"c{columns.index(text_col)}", f"c{columns.index(length_col)}" if length_col in columns else None
 

@@ -14,13 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 
 #: Windows that are filled together, the longest piece, and the tokens per window left free so that near-equal windows fit.
 WINDOWS, PIECE, SLACK = 64, 256, 26
 
 #: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 SCHEMA = "{id} {type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -230,7 +230,7 @@ def pack_sequences(
         if group:
             yield rows(close())
 
-    slim = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    slim = small_batches(docs).select(id_col, F.col(text_col).cast("string").alias(text_col))
     return slim.mapInArrow(pack, SCHEMA.format(id=f"`{id_col}`", type=kind))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 
 #: Documents of each label that are learned from, and lines of each: the bounds of the sample.
 DOCUMENTS, LINES = 1200, 64
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, documents: int = DO
     below = F.coalesce(*[F.when(F.col("quality") == k, min(1.0, documents / n)) for k, n in counts.items()], F.lit(0.0))
     # the sample has a bounded number of ids, so it may be sent to every executor
     picked = known.where(share < below).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * documents)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -266,7 +266,7 @@ def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col
     """
     keep = [id_col] if keep is None else keep
     text = text_col if text_col in keep else "__text"
-    slim = docs.select(*(F.col(f"`{c}`") for c in keep), *([] if text == text_col else [F.col(f"`{text_col}`").cast("string").alias(text)]))
+    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text == text_col else [F.col(f"`{text_col}`").cast("string").alias(text)]))
     schema = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
