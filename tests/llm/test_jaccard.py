@@ -86,11 +86,6 @@ def test_edges(spark):
 
 def test_buckets_over_batches(spark, monkeypatch):
     """Pairs of a bucket don't depend on where batches end."""
-    import sys
-
-    import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[J.__name__])  # so that workers see the small number
     rows = [(5 if i < 40 else i, 10 + i // 30, i * 7 % 1000, i) for i in range(60)]
     frame = spark.createDataFrame(rows, "token long, n int, f1 long, f2 long")
     seen = []
@@ -99,7 +94,6 @@ def test_buckets_over_batches(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
         seen.append(J.paired(frame, 90).where("kind = 1").select("b1", "b2").distinct().count())
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    cloudpickle.unregister_pickle_by_value(sys.modules[J.__name__])
     assert seen[0] == seen[1] >= 38
 
 
