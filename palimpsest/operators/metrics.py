@@ -18,8 +18,11 @@ MODEL: Mapping = {
 
 
 def enriched(candidates: DataFrame, leaves: DataFrame, columns: list[str]) -> DataFrame:
-    """Candidates with ``columns`` of both leaves as ``left_<c>`` and ``right_<c>``; corpus and id are the key."""
+    """Candidates with ``columns`` of both leaves as ``left_<c>`` and ``right_<c>``; corpus and id are the key. Of leaves that share it the last by ``pos`` stands."""
     out = candidates
+    if "pos" in leaves.columns:
+        last = leaves.groupBy("side", "corpus", "leaf_id").agg(F.max_by(F.struct(*columns), "pos").alias("_own"))
+        leaves = last.select("side", "corpus", "leaf_id", *(F.col("_own")[c].alias(c) for c in columns))
     for side in ("left", "right"):
         own = leaves.where(F.col("side") == side).select(
             F.col("corpus").alias(f"{side}_corpus"), F.col("leaf_id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in columns)
