@@ -13,6 +13,9 @@ from palimpsest.workspace import stored
 #: A document stays if its language is as sure as this, and its quality this high.
 LEAST_LANGUAGE, LEAST_QUALITY = 0.4, 0.5
 
+#: Near duplicates: words of a shingle, and the least similarity in hundredths.
+SHINGLE, SIMILAR = 5, 80
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose best language isn't sure."""
@@ -27,11 +30,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.9 or more join, directly or through others, the one with the smallest id stays.
+    """Of documents that links of 0.8 or more over five-word shingles join, directly or through others, the one with the smallest id stays.
 
     Rows that share an id are one document, whose smallest text stays; rows without an id can't be told apart and go.
     """
-    found = stored(spark, jaccard.jaccard_components(spark, docs), "components")
+    found = stored(spark, jaccard.jaccard_components(spark, docs, size=SHINGLE, percent=SIMILAR), "components")
     gone = stored(spark, found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_IDS else gone
     kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from cases import documents, nothing
 
@@ -34,6 +36,25 @@ def test_one_document_of_each_group_stays(outputs):
     assert sorted(r["doc_id"] for r in after.collect()) == sorted({r["component_id"] for r in groups})
 
 
+def test_near_copies_link_from_four_fifths_of_five_word_shingles(spark, sf):
+    from test_jaccard import brute
+
+    def changed(words, places):
+        return " ".join(f"new{k}" if k in places else w for k, w in enumerate(words))
+
+    rng = random.Random(2)
+    rows = []
+    for n, places in ((100, (30, 70)), (150, (20, 75, 130)), (100, (20, 50, 80)), (48, (20,)), (49, (20,)), (60, (30,))):
+        words = [f"n{n}p{len(places)}w{k}" for k in range(n)]
+        rows += [" ".join(words), changed(words, places)]
+    base = [f"w{k}" for k in range(120)]
+    rows += [changed(base, rng.sample(range(120), rng.randrange(5))) for _ in range(30)]
+    rows = list(enumerate(rows))
+    kept = P.one_of_each_group(spark, documents(spark, [(i, t, "en", "a") for i, t in rows], extra=False), sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute(rows, 5, 80)})
+    assert {c for _, _, c in brute(rows, 5, 80)} != {c for _, _, c in brute(rows, 3, 90)}
+
+
 def test_packed_tokens_are_those_of_the_mix(outputs):
     _, mix, pack = outputs[4]
     from tokenizers import Tokenizer
