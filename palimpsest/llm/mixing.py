@@ -68,7 +68,7 @@ def sainte_lague(wanted: list[float], seats: int, most: list[int]) -> list[int]:
 
 @dataclass(frozen=True)
 class Quota:
-    """What one source gives: ``shares`` are its blocks in each shard."""
+    """What one source gives: ``shares`` are its blocks in each shard, ``words`` what it gives in all, settled to the word."""
 
     source: str | None
     source_size: int
@@ -77,17 +77,32 @@ class Quota:
     shares: tuple[int, ...]
     step: int
     shift: int
+    words: int
+
+    def last_pass(self, block: int) -> tuple[int, int]:
+        """Of the last pass: how many blocks, in the permutation's order, are taken whole, and how many words of the one after.
+
+        The source's last block may be shorter than the others.
+        """
+        rest, n = self.words % max(1, self.source_size), max(1, self.blocks)
+        last = self.source_size - (n - 1) * block
+        if rest >= (self.step * (n - 1) + self.shift) % n * block + last:
+            rest += block - last
+        return rest // block, rest % block
 
 
 def plan(sizes: dict[str | None, int], seed: int = 0, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> tuple[int, list[Quota]]:
-    """Tokens in a block, and every source's integer quotas per shard.
+    """Tokens in a block, every source's integer quotas per shard and its words in all.
 
     The method is house-monotone: more seats never cost a source one. So a
     shard's quotas are what its seats add to those of the shards before it.
+
+    Blocks may be larger than a small source's target; words are apportioned by the same method one by one, so what a source gives
+    is within a word or so of its target whatever the block.
     """
     total = sum(sizes.values())
     if not total:
-        return 1, [Quota(x, n, 0.0, 0, (0,) * shards, 1, 0) for x, n in sizes.items()]
+        return 1, [Quota(x, n, 0.0, 0, (0,) * shards, 1, 0, 0) for x, n in sizes.items()]
     wanted = targets(sizes, weights, repeats)
     smallest = min(x for x in wanted.values() if x > 0)
     block = max(1, total // MOST_BLOCKS, min(total // BLOCKS, int(smallest) // LEAST_BLOCKS))
@@ -95,12 +110,13 @@ def plan(sizes: dict[str | None, int], seed: int = 0, shards: int = SHARDS, weig
     blocks = [-(-sizes[x] // block) for x in names]
     seats = round(total / block)
     upto = [sainte_lague([wanted[x] for x in names], seats * j // shards, [repeats * b for b in blocks]) for j in range(shards + 1)]
+    words = sainte_lague([wanted[x] for x in names], total, [repeats * sizes[x] for x in names])
     out = []
     for i, name in enumerate(names):
         rng = random.Random(f"{seed}/{name!r}")
         n = max(1, blocks[i])
         step = next(x for x in (rng.randrange(1, n + 1) for _ in iter(int, 1)) if math.gcd(x, n) == 1)
-        out.append(Quota(name, sizes[name], wanted[name], blocks[i], tuple(upto[j + 1][i] - upto[j][i] for j in range(shards)), step, rng.randrange(n)))
+        out.append(Quota(name, sizes[name], wanted[name], blocks[i], tuple(upto[j + 1][i] - upto[j][i] for j in range(shards)), step, rng.randrange(n), words[i]))
     return block, out
 
 
@@ -120,8 +136,8 @@ def mix_sources(
 
     Each source's documents, in a seeded order, are one stream of words that
     is cut into blocks of equal tokens. Apportionment gives every source its
-    number of blocks; it passes whole over the stream as often as that allows, and a
-    seeded permutation picks the blocks of the last, partial pass.
+    number of words; it passes whole over the stream as often as that allows, and a
+    seeded permutation picks the blocks of the last, partial pass, the last of them in part.
 
     Gives the id and source, ``size`` (words), ``source_size``, ``target``,
     ``taken`` (words, repeats counted), ``passes`` (whole uses) and ``spans``
@@ -145,18 +161,20 @@ def mix_sources(
     block, quotas = plan(sizes, seed, shards, weights, repeats)
     table = spark.createDataFrame(
         [
-            (q.source, q.source_size, q.target, sum(q.shares) // max(1, q.blocks), sum(q.shares) % max(1, q.blocks), max(1, q.blocks), q.step, q.shift)
+            (q.source, q.source_size, q.target, q.words // max(1, q.source_size), *q.last_pass(block), max(1, q.blocks), q.step, q.shift)
             for q in quotas
         ],
-        "_name string, source_size long, target double, passes long, _rest long, _blocks long, _step long, _shift long",
+        "_name string, source_size long, target double, passes long, _full long, _part long, _blocks long, _step long, _shift long",
     )
     table = F.broadcast(table) if len(quotas) <= BROADCAST_SOURCES else table
     ordered = with_running_totals(spark, narrow, "source", ["_at", id_col], "size")
     placed = ordered.join(table, F.col("source").eqNullSafe(F.col("_name"))).withColumn("_end", F.col("before") + F.col("size"))
     spans = F.expr(
-        f"""IF(size = 0 OR _rest = 0, CAST(array() AS array<struct<begin:bigint,end:bigint>>), transform(
-              filter(sequence(before div {block}, (_end - 1) div {block}), b -> pmod(_step * b + _shift, _blocks) < _rest),
-              b -> struct(greatest(b * {block}, before) - before AS begin, least((b + 1) * {block}, _end) - before AS end)))"""
+        f"""IF(size = 0 OR _full + _part = 0, CAST(array() AS array<struct<begin:bigint,end:bigint>>), transform(
+              filter(sequence(before div {block}, (_end - 1) div {block}), b ->
+                pmod(_step * b + _shift, _blocks) < _full OR (pmod(_step * b + _shift, _blocks) = _full AND _part > greatest(before - b * {block}, 0))),
+              b -> struct(greatest(b * {block}, before) - before AS begin,
+                least(b * {block} + IF(pmod(_step * b + _shift, _blocks) = _full, _part, {block}), _end) - before AS end)))"""
     )
     taken = F.expr("passes * size + aggregate(spans, 0L, (sum, x) -> sum + x.end - x.begin)")
     return placed.withColumn("spans", spans).select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans", *(["row"] if carry else []))

@@ -67,6 +67,40 @@ def test_taken_words_come_near_targets(spark):
     assert sorted(map(repr, found)) == sorted(map(repr, again))
 
 
+@pytest.mark.parametrize("most", [1, 4, 64])
+def test_small_sources_meet_their_targets_whatever_the_block(spark, monkeypatch, most):
+    """As on a corpus so large that the cap on blocks makes them longer than a source."""
+    monkeypatch.setattr(M, "MOST_BLOCKS", most)
+    rows = rows_of() + [(1000 + i, "one two three four five", "en", s) for i, s in enumerate(["x"] * 8 + ["y", "z", "z"])]
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + words(t)
+    docs, wanted = documents(spark, rows, extra=False), M.targets(sizes)
+    assert M.plan(sizes)[0] >= sum(sizes.values()) // 64 > sizes["x"] > sizes["y"]
+    found = M.mix_sources(spark, docs).collect()
+    mixed = M.mixed_rows(spark, docs).collect()
+    for s in sizes:
+        own = [r for r in found if r["source"] == s]
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in own)
+        assert abs(sum(r["taken"] for r in own) - wanted[s]) <= 1
+        assert sum(words(r["text"]) for r in mixed if r["source"] == s) == sum(r["taken"] for r in own)
+    assert sum(r["taken"] for r in found) == sum(sizes.values())
+
+
+def test_words_of_the_last_pass_add_up():
+    rng = random.Random(3)
+    for _ in range(300):
+        size, block = rng.randrange(1, 60), rng.randrange(1, 20)
+        n, want = -(-size // block), rng.randrange(3 * size + 1)
+        step = next(x for x in range(rng.randrange(1, n + 1), 2 * n + 2) if M.math.gcd(x, n) == 1)
+        q = M.Quota("a", size, 0.0, n, (), step, rng.randrange(n), want)
+        full, part = q.last_pass(block)
+        ranks = [(q.step * b + q.shift) % n for b in range(n)]
+        lengths = [min(block, size - b * block) for b in range(n)]
+        assert sum(x for x, r in zip(lengths, ranks, strict=True) if r < full) + part == want % size
+        assert all(part < x for x, r in zip(lengths, ranks, strict=True) if r == full)
+
+
 def test_edges(spark):
     found = M.mix_sources(spark, documents(spark)).collect()
     assert len(found) == len(ROWS) and all(r["taken"] <= 3 * r["size"] for r in found)
