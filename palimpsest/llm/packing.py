@@ -22,6 +22,9 @@ WINDOWS, PIECE, SLACK = 64, 256, 26
 #: Distinct chunks whose ids a worker remembers.
 REMEMBERED = 100_000
 
+#: The vocabulary's added tokens, which the ``.tiktoken`` form leaves out: their strings in a text are one id.
+ADDED = {"<|endoftext|>": 50256}
+
 SCHEMA = "{id} {type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -91,12 +94,15 @@ def _encoder(path: str) -> tuple[Callable[[list[str]], list], dict]:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+
+        def one(chunk: str) -> list[int]:
+            return own.encode(chunk, allowed_special="all") if any(x in chunk for x in ADDED) else own.encode_ordinary(chunk)
+
         return lambda chunks: list(map(one, chunks)), {}
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], {}
 
 
@@ -115,7 +121,7 @@ def _chunk_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
     The pretokenizer's pieces hold white space only at their front or as a run
     of its own, so a single space between two characters that are not white
-    space always opens a piece. A neighbour that could be Unicode white space
+    space always opens a piece; added tokens hold no white space. A neighbour that could be Unicode white space
     makes the place unsafe; the chunk is then longer, and its ids the same.
     """
     if len(data) < 3:

@@ -28,6 +28,16 @@ def test_ids_are_the_tokenizers(plain):
         assert [ids[a:b].tolist() for a, b in zip(upto, upto[1:], strict=False)] == [plain(x) for x in TRICKY] + [[]]
 
 
+def test_strings_of_added_tokens_are_one_id(plain):
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " the", "é", "　", "'s"]
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "one<|endoftext|>two  <|endoftext|>", *("".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(300))]
+    assert plain("a<|endoftext|>b")[1:2] == [50256]
+    for kind in ("tiktoken", "json"):
+        ids, upto = P.token_ids(pa.array(texts), P.tokenizer_path(kind))
+        assert [ids[a:b].tolist() for a, b in zip(upto, upto[1:], strict=False)] == [plain(x) for x in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab 's\t\n  　é1ß.-\u0085\x1c"), max_size=25), min_size=1, max_size=5))
 def test_ids_of_any_white_space(texts):
