@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame
 #: Bytes of text that one step of an operator holds at a time (a longer document is a step of its own).
 STEP_BYTES = 2 << 20
 
-#: Rows that go to a Python worker at once, where the session has Spark's default, which suits narrow rows.
-BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
+#: Rows and bytes that go to a Python worker at once, where the session has Spark's defaults, which suit narrow rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 
 
 def small_batches(frame: DataFrame) -> DataFrame:
-    """The frame, whose session from now on sends rows with whole texts in batches of bounded size, unless it has a setting of its own."""
+    """The frame, whose session from now on sends rows with whole texts in batches of bounded size, unless it has settings of its own.
+
+    The settings stay with the session; no result depends on where batches end.
+    """
     conf = frame.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, (default, own) in BATCH.items():
+        if conf.get(name) == default:
+            conf.set(name, own)
     return frame
 
 
@@ -45,12 +49,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], *texts: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts together have about ``limit`` bytes at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        _, ends = utf8(batch.column(text))
+        ends = sum(utf8(batch.column(text))[1] for text in texts)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)

@@ -8,31 +8,39 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from palimpsest.llm.arrow import small_batches, steps, utf8
 from palimpsest.operators.components import connected_components
 from palimpsest.workspace import stored
 
 #: Words of a shingle, the least similarity in hundredths, and token orders.
-WORDS, PERCENT, ORDERS = 3, 90, 2
+WORDS, PERCENT, ORDERS = 3, 90, 3
 
-#: Counters of each order, of which a row of the sketch holds so many.
-COUNTERS, CHUNK = 1 << 19, 1 << 12
+#: Counters of shingles, of which a row of the sketch holds so many.
+COUNTERS, CHUNK = 1 << 20, 1 << 12
 
 #: Bits of a set's signature, as 64-bit numbers: each tells whether an odd number of its shingles falls there.
 PARITIES = 8
 SIGNATURE = [f"p{i}" for i in range(PARITIES)]
 
-#: Up to so many sets that share a token are paired outright; a larger bucket is searched around its first sets before.
-SMALL = 8
+#: Sets of so many shingles have a second signature of so many bits, which pairs are held to before their texts are fetched.
+LONG, LONG_BITS = 1024, 1 << 13
+
+#: Sets of a token that are compared in one piece, and the most of which all pairs are told.
+BLOCK, SMALL = 512, 8
+
+#: Postings that a task sorts at once, and of a token among them the most that go to its common bucket; of more, the first few do.
+SORTED, LOCAL, BRIDGES = 1 << 20, 64, 2
 
 #: Rows of postings that are looked at together.
 GATHERED = 1 << 14
 
-#: Rounds in which members that are left over are held against others of their bucket, against how many each, and in how many buckets.
-ROUNDS, LEADERS, BUCKETS = 2, 6, 4
+#: Tokens by which a pair that meets often is told once.
+FIRST = 4
 
 #: As many ids are sent to every executor (8 bytes each); more are joined by key.
 BROADCAST_IDS = 1 << 20
@@ -114,40 +122,48 @@ def parities(shingles: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def may_link(na: str, nb: str, a: str, b: str, percent: int) -> str:
-    """SQL that holds for every pair that links: differing bits are no more than the shingles that such sets may differ in."""
-    bits = " + ".join(f"bit_count({a}.{x} ^ {b}.{x})" for x in SIGNATURE)
-    return f"({bits}) * {100 + percent} <= ({na} + {nb}) * {100 - percent}"
+def long_parities(shingles: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """The second signature of each set, null for a short one."""
+    out: list[bytes | None] = [None] * (len(at) - 1)
+    for k in np.flatnonzero(np.diff(at) >= LONG).tolist():
+        place = (mix(shingles[at[k] : at[k + 1]], 2) >> np.uint64(64 - (LONG_BITS - 1).bit_length())).astype(np.int64)
+        out[k] = np.packbits((np.bincount(place, minlength=LONG_BITS) & 1).astype(np.uint8)).tobytes()
+    return out
+
 
+def may_link(bits: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Holds for every pair that links: sizes ``a`` and ``b`` are near, and no more bits differ than shingles of such sets may."""
+    bits, a, b = bits.astype(np.int64), a.astype(np.int64), b.astype(np.int64)
+    return (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (bits * (100 + percent) <= (a + b) * (100 - percent))
 
-def _counter(shingles: np.ndarray, order: int) -> np.ndarray:
-    return ((shingles >> np.uint64(20 * order + 2)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """One pass over the texts: a row per document with its set's size and name, and each task's rows of the counters.
+    """One pass over the texts: a row per document with its set's size, name and signature, and each task's rows of the counters.
 
-    Counters tell about how many documents hold a shingle. A shingle has one in every order, and shares it with others.
+    A counter tells about how many documents hold a shingle, which shares it with others. Long sets have a second signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ORDERS, COUNTERS), np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in steps(batches, "text"):
             shingles, at = shingle_sets(*utf8(batch.column("text")), size)
-            for order in range(ORDERS):
-                counts[order] += np.bincount(_counter(shingles, order), minlength=COUNTERS)
+            counts += np.bincount(_counter(shingles), minlength=COUNTERS)
             n = batch.num_rows
-            nulls = pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, names_of(shingles, at)), *map(pa.array, parities(shingles, at)), *nulls], names=names)
+            rest = pa.array(long_parities(shingles, at), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), *map(pa.array, names_of(shingles, at)), *map(pa.array, parities(shingles, at)), *rest], names=names)
         flat = counts.reshape(-1, CHUNK)
         used = np.flatnonzero(flat.any(1))
         if len(used):
             nothing = [pa.nulls(len(used), pa.int64()) for _ in range(4 + PARITIES)]
-            yield pa.RecordBatch.from_arrays([*nothing, pa.array(used.astype(np.int32)), pa.array([_packed(x) for x in flat[used]], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*nothing, pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array([_packed(x) for x in flat[used]], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "f1", "f2", *SIGNATURE, "chunk", "counts"]
-    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, f"doc_id long, n long, f1 long, f2 long, {', '.join(f'{x} long' for x in SIGNATURE)}, chunk int, counts binary")
+    names = ["doc_id", "n", "f1", "f2", *SIGNATURE, "whole", "chunk", "counts"]
+    slim = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return slim.mapInArrow(run, f"doc_id long, n long, f1 long, f2 long, {', '.join(f'{x} long' for x in SIGNATURE)}, whole binary, chunk int, counts binary")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -168,54 +184,171 @@ def _added(table: pa.Table) -> pa.Table:
 
 
 def document_counts(described: DataFrame) -> np.ndarray:
-    """All tasks' counters added up, level by level; the driver gets a fixed number of them, whatever the input."""
+    """All tasks' counters added up, level by level, as powers of two; the driver gets a fixed number of them, whatever the input."""
     rows = described.where(F.col("chunk").isNotNull()).select("chunk", "counts")
     some = rows.withColumn("_salt", F.spark_partition_id() % 64).groupBy("chunk", "_salt").applyInArrow(_added, "chunk int, counts binary")
-    total = np.zeros((ORDERS * COUNTERS // CHUNK, CHUNK), np.int64)
+    total = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
     for row in some.groupBy("chunk").applyInArrow(_added, "chunk int, counts binary").collect():
         total[row["chunk"]] = _unpacked(bytes(row["counts"]))
-    return np.minimum(total, (1 << 24) - 1).astype(np.uint32).reshape(ORDERS, COUNTERS)
+    return np.frexp(total.ravel().astype(np.float64))[1].astype(np.uint8)
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The set's first shingles under an order by (documents counted, scrambled hash), as tokens of that order.
+    """The set's first shingles under an order by (about how many documents hold it, scrambled hash), as tokens of that order.
 
     Two sets of the least similarity share at least ceil(percent * n / 100) shingles of either, so their prefixes share one.
     """
     scrambled = mix(shingles, order)
-    rank = (counts[order][_counter(shingles, order)].astype(np.uint64) << np.uint64(40)) | (scrambled >> np.uint64(24))
+    rank = (counts[_counter(shingles)].astype(np.uint64) << np.uint64(56)) | (scrambled >> np.uint64(8))
     keep = len(shingles) + percent * len(shingles) // -100 + 1
     first = np.argpartition(rank, keep - 1)[:keep]
     if keep < len(shingles):  # the rank is cut to 64 bits: let every equal of the last one in
         first = np.flatnonzero(rank <= rank[first].max())
-    return (scrambled[first] & ~np.uint64(ORDERS - 1)) | np.uint64(order)
+    return scrambled[first]
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and how long it is."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = False
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    starts = np.flatnonzero(fresh)
+    return starts, np.diff(np.append(starts, len(fresh)))
+
+
+def _dealt(token: np.ndarray, n: np.ndarray, f1: np.ndarray, place: int, local: int, size: int) -> pa.RecordBatch:
+    """A task's postings, each set once in a token. Of a token with more than ``local``, the rows stay together in blocks of ``size``,
+    and the first of each also go to the token's common bucket, where they say that there is more."""
+    order = np.lexsort((f1, n, token))
+    token, n, f1 = token[order], n[order], f1[order]
+    keep, _ = _runs(token, f1, n)
+    token, n, f1 = token[keep], n[keep], f1[keep]
+    starts, sizes = _runs(token)
+    inside = np.arange(len(token)) - np.repeat(starts, sizes)
+    many = np.repeat(sizes > local, sizes)
+    block = np.where(many, (np.int64(place) << 12) + inside // size + 1, 0)
+    lead = many & (inside % size < BRIDGES)
+    columns = [np.concatenate([x, x[lead]]) for x in (token, n, f1)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0]), pa.array(np.concatenate([block, np.zeros(int(lead.sum()), np.int64)])), pa.array(np.concatenate([many, many[lead]])), *map(pa.array, columns[1:])],
+        names=["token", "block", "many", "n", "f1"],
+    )
 
 
-def postings(spark: SparkSession, docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """A row (token, size and name of the set) for each set and prefix token; a task gives equal sets once."""
+def postings(spark: SparkSession, docs: DataFrame, counts: np.ndarray, text_col: str, size: int, percent: int) -> DataFrame:
+    """A row (token, size and first half of the name of the set) for each set and token of its prefix under the first order."""
     shared = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        held: list[list[np.ndarray]] = []
+        rows = place = 0
         for batch in steps(batches, "text"):
             shingles, at = shingle_sets(*utf8(batch.column("text")), size)
-            f1, f2 = names_of(shingles, at)
+            f1, _ = names_of(shingles, at)
+            n = np.diff(at)
             tokens, owners = [], []
-            for k, name in enumerate(zip(f1.tolist(), f2.tolist(), strict=True)):
-                if at[k] == at[k + 1] or name in seen:
-                    continue
-                seen.add(name)
-                own = shingles[at[k] : at[k + 1]]
-                for order in range(ORDERS):
-                    tokens.append(prefix(own, shared.value, order, percent))
-                    owners.append((k, len(tokens[-1])))
+            for k in np.unique(f1, return_index=True)[1].tolist():
+                if n[k]:
+                    tokens.append(prefix(shingles[at[k] : at[k + 1]], shared.value, 0, percent).view(np.int64))
+                    owners.append(np.full(len(tokens[-1]), k))
             if tokens:
-                who, times = np.array(owners).T
-                who = np.repeat(who, times)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.diff(at)[who].astype(np.int32)), pa.array(f1[who]), pa.array(f2[who])], names=["token", "n", "f1", "f2"])
+                who = np.concatenate(owners)
+                held.append([np.concatenate(tokens), n[who].astype(np.int32), f1[who]])
+                rows += len(who)
+            if rows >= SORTED:
+                yield _dealt(*map(np.concatenate, zip(*held, strict=True)), (TaskContext.get().partitionId() << 16) + place, LOCAL, BLOCK)
+                held, rows, place = [], 0, place + 1
+        if held:
+            yield _dealt(*map(np.concatenate, zip(*held, strict=True)), (TaskContext.get().partitionId() << 16) + place, LOCAL, BLOCK)
+
+    slim = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    return slim.mapInArrow(run, "token long, block long, many boolean, n int, f1 long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, limit: int) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Rows in order, about ``limit`` at a time, and whether the last group of equal first ``keys`` columns is complete: it is, unless it is very large."""
+    parts: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(x[0]) for x in parts) < limit:
+            continue
+        rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        starts, _ = _runs(*rows[:keys])
+        cut = int(starts[-1])
+        if cut == 0:
+            yield rows, False
+            parts = []
+        else:
+            yield [x[:cut] for x in rows], True
+            parts = [[x[cut:] for x in rows]]
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)], True
+
+
+def shared_tokens(found: DataFrame) -> DataFrame:
+    """Postings of tokens that several sets have, in parts of at most BLOCK sets and one that the part before has too.
+
+    ``many`` tells that a token has several parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: tuple | None = None  # the last group's key and rows so far
+        for rows, complete in _groups(batches, 2, GATHERED):
+            token, block, many, n, f1 = rows
+            keep, _ = _runs(token, block, n, f1)
+            token, block, many, n, f1 = (x[keep] for x in (token, block, many, n, f1))
+            starts, sizes = _runs(token, block)
+            before = np.zeros(len(starts), np.int64)
+            if carry and carry[0] == (token[0], block[0]):
+                before[0] = carry[1]
+            inside = np.arange(len(token)) - np.repeat(starts - before, sizes)
+            whole = before + sizes
+            more = np.maximum.reduceat(many, starts) | (whole > BLOCK) | (before > 0) | (not complete)
+            carry = ((token[-1], block[-1]), int(whole[-1]))
+            part = np.where((np.repeat(block[starts], sizes) == 0) & (inside >= BLOCK), -(inside // BLOCK), block)
+            bridge = np.flatnonzero((block == 0) & (inside >= BLOCK - 1) & (inside % BLOCK == BLOCK - 1))
+            keep = np.repeat((whole > 1) | (not complete), sizes)
+            columns = [x[keep] for x in (token, part, np.repeat(more, sizes), n, f1)]
+            extra = [token[bridge], -(inside[bridge] // BLOCK) - 1, np.ones(len(bridge), bool), n[bridge], f1[bridge]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])) for x, y in zip(columns, extra, strict=True)], names=["token", "part", "many", "n", "f1"])
 
-    slim = docs.select(F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "token long, n int, f1 long, f2 long")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(parts, "token", "block").sortWithinPartitions("token", "block", F.col("many").desc(), "n", "f1")
+    return dealt.mapInArrow(run, "token long, part long, many boolean, n int, f1 long")
+
+
+def _bits(signs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(signs[a] ^ signs[b]).sum(1, dtype=np.int64)
+
+
+def _all_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of every signature of one side with every one of the other."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    for w in range(PARITIES):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
+
+
+def _forest(weight: np.ndarray, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a least spanning forest of what is nearer than ``far``."""
+    m = len(weight)
+    best, to, left = weight[0].copy(), np.zeros(m, np.int64), np.ones(m, bool)
+    left[0] = False
+    best[0] = far + 1
+    a, b = [], []
+    for _ in range(m - 1):
+        k = int(best.argmin())
+        if best[k] < far:
+            a.append(int(to[k]))
+            b.append(k)
+        left[k] = False
+        best[k] = far + 1
+        nearer = (weight[k] < best) & left
+        best[nearer] = weight[k][nearer]
+        to[nearer] = k
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 @lru_cache(maxsize=None)
@@ -223,92 +356,157 @@ def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def paired(found: DataFrame, percent: int) -> DataFrame:
-    """From postings sorted by token: pairs of sets, and the members of large buckets.
+def _wide(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """Rows dealt and sorted by their keys, with the set's number, size and signature."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, *more, "node", "n", *SIGNATURE).repartition(parts, *keys).sortWithinPartitions(*keys, "node")
 
-    ``kind`` 0: all pairs of a bucket of up to SMALL sets. In a larger one ``kind`` 1 pairs each set with the first set of about
-    its size, and ``kind`` 2 tells its members, for what that leaves open. Pairs whose sizes rule a link out are left out.
+
+def spanning(wide: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that hold together what may link in each part of a token's bucket, and what that leaves open.
+
+    ``token`` null: a pair (``u``, ``v``). In a small part those are all pairs that sizes and signatures let pass, in a larger one a
+    least spanning forest of them by differing bits. Else ``u`` is a member of the token's bucket that has more such pairs.
     """
 
-    def process(state: dict, rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        """``state``: ``held`` is a small bucket that the next batch may continue, ``large`` a bucket's token and ``lead`` its last first set."""
-        token, n, f1, f2 = rows
-        if not len(token):
-            return
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (f1[1:] != f1[:-1]) | (f2[1:] != f2[:-1]) | (n[1:] != n[:-1])
-        token, n, f1, f2 = (x[fresh] for x in (token, n, f1, f2))
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        sizes = np.diff(np.append(starts, len(token)))
-        if not last and sizes[-1] <= SMALL and state.get("large") != token[-1]:
-            cut = starts[-1]
-            state["held"] = [x[cut:] for x in (token, n, f1, f2)]
-            token, n, f1, f2, starts, sizes = token[:cut], n[:cut], f1[:cut], f2[:cut], starts[:-1], sizes[:-1]
-        out: list[list[np.ndarray]] = []
-        order = (token & (ORDERS - 1)).astype(np.int8)
-        large = sizes > SMALL
-        if len(starts) and state.get("large") == token[0]:
-            large[0] = True
-        for size in range(2, SMALL + 1):
-            own = starts[(sizes == size) & ~large]
-            if len(own):
-                i, j = _triangle(size)
-                a, b = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-                near = n[a].astype(np.int64) * 100 >= n[b].astype(np.int64) * percent  # sizes rise in a bucket
-                a, b = a[near], b[near]
-                out.append([np.zeros(len(a), np.int8), order[a], token[a], n[a], f1[a], f2[a], n[b], f1[b], f2[b]])
-        for k in np.flatnonzero(large).tolist():
-            a, b = int(starts[k]), int(starts[k] + sizes[k])
-            at = np.arange(a, b)
-            out.append([np.full(b - a, 2, np.int8), order[at], token[at], n[at], f1[at], f2[at], n[at], f1[at], f2[at]])
-            lead = state["lead"] if state.get("large") == token[a] else None
-            while a < b:
-                if lead is None or lead[0] * 100 < int(n[a]) * percent:
-                    lead = (int(n[a]), int(f1[a]), int(f2[a]))
-                    a += 1
-                    continue
-                to = a + int(np.searchsorted(n[a:b].astype(np.int64) * percent, lead[0] * 100, "right"))
-                m = to - a
-                whom = [np.full(m, lead[0], np.int32), np.full(m, lead[1]), np.full(m, lead[2])]
-                out.append([np.ones(m, np.int8), order[a:to], token[a:to], *whom, n[a:to], f1[a:to], f2[a:to]])
-                a = to
-            if k == len(starts) - 1:
-                state["large"], state["lead"] = int(token[-1]), lead
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=columns)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
-        parts: list[list[np.ndarray]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in _groups(batches, 2, GATHERED):
+            token, part, many, node, n = rows[:5]
+            signs = np.stack(rows[5:], 1).view(np.uint64)
+            starts, sizes = _runs(token, part)
+            pairs, opened = [], [np.repeat(many[starts], sizes)]
+            for size in range(2, SMALL + 1):
+                own = starts[sizes == size]
+                if len(own):
+                    i, j = _triangle(size)
+                    a, b = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
+                    fine = may_link(_bits(signs, a, b), n[a], n[b], percent) & (node[a] != node[b])
+                    pairs.append((a[fine], b[fine]))
+            rest = np.zeros(len(token), bool)
+            for at, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+                for low in range(at, at + size, BLOCK + 1):  # a part is no larger, but for an unlikely run of equal names
+                    own = slice(low, min(low + BLOCK + 1, at + size))
+                    bits = _all_bits(signs[own], signs[own])
+                    fine = may_link(bits, n[own, None], n[None, own], percent) & (node[own, None] != node[None, own])
+                    tie = ((node[own, None] ^ node[None, own]).view(np.uint64) * _ODD[0]) >> np.uint64(44)
+                    far = 1 << 40
+                    a, b = _forest(np.where(fine, (bits << 20) | tie.view(np.int64), far), far)
+                    pairs.append((a + low, b + low))
+                    fine[a, b] = fine[b, a] = False
+                    rest[own] = fine.any(1)
+            opened.append(rest)
+            a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+            u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            if len(u):
+                u, v = np.unique(np.stack([u, v], 1), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], names=["token", "u", "v"])
+            more = np.flatnonzero(opened[0] | opened[1])
+            if len(more):
+                yield pa.RecordBatch.from_arrays([pa.array(token[more]), pa.array(node[more]), pa.nulls(len(more), pa.int64())], names=["token", "u", "v"])
+
+    return wide.mapInArrow(run, "token long, u long, v long")
+
+
+def across(opened: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``u``, ``v``) of open members of a token's bucket that are in different components and may link, each told once.
+
+    Members outside a bucket's largest component are held against all its members, piece by piece. Of the tokens in which
+    a pair meets, the smallest tells it, as far as each set's first few tokens show.
+    """
+    now = opened.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = now.groupBy("token", "component").agg(F.count("*").alias("_k")).groupBy("token")
+    usual = sizes.agg(F.max_by("component", F.struct("_k", "component")).alias("_usual"), F.sum("_k").alias("_all"), F.max("_k").alias("_most")).where("_all > _most")
+    now = now.join(usual, "token")
+    first = now.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("first"))
+    now = now.withColumn("_left", F.expr(f"cast(ceil((_all - _most) / {BLOCK}) as int)")).withColumn("_right", F.expr(f"cast(ceil(_all / {BLOCK}) as int)"))
+    asks = now.where("component <> _usual").withColumn("i", F.expr("cast(pmod(xxhash64(node), _left) as int)")).withColumn("j", F.explode(F.expr("sequence(0, _right - 1)")))
+    told = now.withColumn("j", F.expr("cast(pmod(xxhash64(node), _right) as int)")).withColumn("i", F.explode(F.expr("sequence(0, _left - 1)")))
+    keys = ["token", "i", "j", "node", "component"]
+    both = asks.select(*keys, F.lit(True).alias("asks")).union(told.select(*keys, F.lit(False).alias("asks"))).join(first, "node").join(sets.drop("whole"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in _groups(batches, 3, GATHERED):
+            token, i, j, ask, component, own, node, n = rows[:8]
+            signs = np.stack(rows[8:], 1).view(np.uint64)
+            early = np.full((len(own), FIRST), np.iinfo(np.int64).max)
+            for k, x in enumerate(own):
+                early[k, : len(x)] = x
+            starts, sizes = _runs(token, i, j)
+            us, vs = [], []
+            for at, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                k = np.arange(at, at + size)
+                for low in range(0, int(ask[k].sum()), BLOCK):
+                    left = k[ask[k]][low : low + BLOCK]
+                    right = k[~ask[k]]
+                    fine = may_link(_all_bits(signs[left], signs[right]), n[left, None], n[None, right], percent)
+                    a, b = np.nonzero(fine & (component[left, None] != component[None, right]))
+                    a, b = left[a], right[b]
+                    before = ((early[a][:, :, None] == early[b][:, None, :]) & (early[a] < token[at])[:, :, None]).any((1, 2))
+                    us.append(np.minimum(node[a], node[b])[~before])
+                    vs.append(np.maximum(node[a], node[b])[~before])
+            if sum(map(len, us)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return _wide(both, ["token", "i", "j"], "asks", "component", "first").mapInArrow(run, "u long, v long").distinct()
+
+
+def held_to_long(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (``u``, ``v``) of sets, those that their second signatures let pass, where both have one."""
+    own = sets.where("whole IS NOT NULL").select("node", "n", "whole")
+    for side in ("u", "v"):
+        pairs = pairs.join(own.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("whole").alias(f"w{side}")), side, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts.append([c.to_numpy() for c in batch.columns])
-            if sum(len(x[0]) for x in parts) >= GATHERED:
-                rows, parts = [np.concatenate(c) for c in zip(*([state.pop("held")] if "held" in state else []), *parts, strict=True)], []
-                yield from process(state, rows, False)
-        if parts or "held" in state:
-            yield from process(state, [np.concatenate(c) for c in zip(*([state.pop("held")] if "held" in state else []), *parts, strict=True)], True)
-
-    columns = ["kind", "ord", "token", "na", "a1", "a2", "nb", "b1", "b2"]
-    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(parts, "token").sortWithinPartitions("token", "n", "f1", "f2")
-    return dealt.mapInArrow(stream, "kind byte, ord byte, token long, na int, a1 long, a2 long, nb int, b1 long, b2 long")
-
-
-def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Of pairs (``u``, ``v``) of documents, those whose whole texts' shingle sets have the similarity."""
-    wanted = stored(spark, pairs.select(F.explode(F.array("u", "v")).alias("_id")).distinct(), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(side, "_id", "left_semi")
-    texts = stored(spark, texts, "texts")
-    both = (
-        pairs.join(texts.select(F.col("_id").alias("u"), F.col("text").alias("ta")), "u")
-        .join(texts.select(F.col("_id").alias("v"), F.col("text").alias("tb")), "v")
-        .select("u", "v", "ta", "tb")
-    )
+            keep = np.ones(batch.num_rows, bool)
+            for k, (a, b, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("nu", "nv", "wu", "wv")), strict=True)):
+                if x is not None and y is not None:
+                    bits = np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum(dtype=np.int64)
+                    keep[k] = may_link(bits, np.int64(a), np.int64(b), percent)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return stored(spark, pairs.select("u", "v", "nu", "nv", "wu", "wv").mapInArrow(run, "u long, v long"), "held")
+
+
+def details(spark: SparkSession, docs: DataFrame, wanted: DataFrame, counts: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """For each wanted set (its number, name and a document that has it) its text and the prefixes under the other orders."""
+    shared = spark.sparkContext.broadcast(counts)
+    orders = [f"o{k}" for k in range(1, ORDERS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            shingles, at = shingle_sets(*utf8(batch.column("text")), size)
+            f1, f2 = names_of(shingles, at)
+            kept = np.flatnonzero(np.diff(at) > 0)
+            columns = [pa.array(f1[kept]), pa.array(f2[kept]), batch.column("text").take(pa.array(kept))]
+            for order in range(1, ORDERS):
+                own = [(prefix(shingles[at[k] : at[k + 1]], shared.value, order, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for k in kept.tolist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["f1", "f2", "text", *orders])
+
+    ids = stored(spark, wanted.select(F.col("rep").alias("_id")).distinct(), "wanted-ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    made = slim.join(side, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(run, f"f1 long, f2 long, text string, {', '.join(f'{o} array<int>' for o in orders)}")
+    names = wanted.select("f1", "f2", "node")
+    found = stored(spark, made.join(F.broadcast(names) if ids.count() <= BROADCAST_IDS // 4 else names, ["f1", "f2"]).drop("f1", "f2"), "details")
+    return found if found.count() == wanted.count() else stored(spark, found.dropDuplicates(["node"]), "details")
+
+
+def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Of pairs (``u``, ``v``) of sets, those that share tokens under the other orders too and whose whole texts have the similarity."""
+    pairs = held_to_long(spark, pairs, sets, percent)
+    wanted = stored(spark, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(sets.select("node", "f1", "f2", "rep"), "node"), "wanted")
+    texts = details(spark, docs, wanted, counts, id_col, text_col, size, percent)
+    orders = [f"o{k}" for k in range(1, ORDERS)]
+    for side in ("u", "v"):
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"t{side}"), *(F.col(o).alias(f"{o}{side}") for o in orders)), side)
+    meet = " AND ".join(f"arrays_overlap({o}u, {o}v)" for o in orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "tb"):
-            (sa, at), (sb, bt) = (shingle_sets(*utf8(batch.column(c)), size) for c in ("ta", "tb"))
+        for batch in steps(batches, "tu", "tv"):
+            (sa, at), (sb, bt) = (shingle_sets(*utf8(batch.column(c)), size) for c in ("tu", "tv"))
             keep = []
             for k in range(batch.num_rows):
                 a, b = sa[at[k] : at[k + 1]], sb[bt[k] : bt[k + 1]]
@@ -316,7 +514,39 @@ def verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, id_col: str
                 keep.append(common > 0 and 100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(spark, both.mapInArrow(run, "u long, v long"), "links")
+    return stored(spark, pairs.where(meet).select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long"), "links")
+
+
+def set_components(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The described documents, and all sets (``f1``, ``f2``, ``rep``, ``node``) with their ``component``, a set's number.
+
+    ``rep`` is the smallest id of a document that has the set, null if none has an id. With ``by_id`` sets of one id are linked.
+    """
+    described = stored(spark, describe(docs, id_col, text_col, size), "described")
+    counts = document_counts(described)
+    rows = described.where("chunk IS NULL").select("doc_id", "n", "f1", "f2", *SIGNATURE, "whole")
+    known = rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").cast("int").alias("n"), *(F.min(x).alias(x) for x in SIGNATURE), F.min("whole").alias("whole"))
+    sets = stored(spark, known.withColumn("node", F.monotonically_increasing_id()), "sets")
+    tokens = stored(spark, shared_tokens(postings(spark, docs, counts, text_col, size, percent)), "tokens")
+    wide = _wide(tokens.join(sets.drop("n", "whole"), "f1"), ["token", "part"], "many")
+    found = stored(spark, spanning(wide, percent), "spanning")
+    pairs = stored(spark, found.where("token IS NULL").select("u", "v").distinct(), "pairs")
+    links = verified(spark, pairs, sets, docs, counts, id_col, text_col, size, percent)
+    if by_id:
+        several = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(x).alias(f"_{k}{x}") for k, f in enumerate((F.min, F.max)) for x in ("f1", "f2"))).where("_0f1 <> _1f1 OR _0f2 <> _1f2")
+        if several.limit(1).count():
+            own = rows.where("n > 0").join(several.select("doc_id"), "doc_id").join(sets.select("f1", "f2", "node"), ["f1", "f2"]).select("doc_id", "node")
+            own = stored(spark, own.distinct(), "sets-of-ids")
+            links = links.union(own.join(own.groupBy("doc_id").agg(F.min("node").alias("_least")), "doc_id").where("node <> _least").select(F.col("_least").alias("u"), F.col("node").alias("v")))
+    labels = connected_components(spark, links)
+    opened = stored(spark, found.where("token IS NOT NULL").select("token", F.col("u").alias("node")).distinct(), "opened")
+    more = stored(spark, across(opened, sets, labels, percent).join(pairs, ["u", "v"], "left_anti"), "across")
+    if more.limit(1).count():
+        fresh = verified(spark, more, sets, docs, counts, id_col, text_col, size, percent)
+        if fresh.limit(1).count():
+            labels = connected_components(spark, links.union(fresh))
+    labels = labels.groupBy("node").agg(F.min("component").alias("component"))
+    return rows.select("doc_id", "n", "f1", "f2"), sets.select("f1", "f2", "rep", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def jaccard_components(
@@ -325,90 +555,66 @@ def jaccard_components(
     """Every document with ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
     Documents link when their sets of word shingles have a Jaccard similarity of ``percent`` hundredths or more; the
-    search is exact. Equal sets are one node. Two sets that link share a token of their prefixes
-    under every one of several global orders, each by its own counters of documents and its own hash, with common
-    shingles last. Pairs that meet under all orders are verified on the whole texts.
+    search is exact. Equal sets are one node. Two sets that link share a token of their prefixes under every one of several
+    global orders, each with its own hash, with shingles of few documents first. The first order's tokens bring sets together; there sizes and signatures of
+    parities rule out what can't link. What is left must meet under all other orders as well before whole texts are verified.
 
-    What the search finds must also pass by size and by signatures of parities, which rule out only pairs that can't link, before texts are read.
+    In a token's bucket of many sets, pieces of at most BLOCK sets are each held together by the pairs of a least spanning forest by
+    differing bits, so a group of near copies costs about as many pairs as it has members. Members whose further pairs would join different components
+    are held against those after it, so no link is lost.
 
-    A bucket of many sets isn't paired outright: each set is held against the bucket's first of about its size, and where
-    a large bucket still spans several components, those outside the usual one against a few of that. Only what is in different components even
-    then is paired in full, so a group of near copies costs about as many pairs as it has members, and no link is lost.
+    Null and empty texts have no shingles and link with nothing. Rows with equal ids are one document, with the links of any of them, and have one component. A row
+    without an id links as any other and gets its set's component, null if no row there has an id; it never names one. An empty table gives no rows, and other columns are ignored.
+    """
+    rows, sets = set_components(spark, docs, id_col, text_col, size, percent, by_id=True)
+    least = sets.groupBy("component").agg(F.min("rep").alias("_least"))
+    named = stored(spark, sets.join(least, "component").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "_least"), "components")
+    # equal sets may be many; the other side has each set once, so a hot one can be split
+    found = rows.join(named, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") > 0), "left")
+    # an id with an empty text beside others has the component of those
+    both = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("n").alias("_n0"), F.max("n").alias("_n1")).where("_n0 = 0 AND _n1 > 0").select(F.col("doc_id").alias("_doc"))
+    if both.limit(1).count():
+        other = found.where("n > 0").join(both, F.col("doc_id") == F.col("_doc"), "left_semi").groupBy(F.col("doc_id").alias("_doc")).agg(F.min("_least").alias("_other"))
+        found = found.join(other, F.col("doc_id") == F.col("_doc"), "left").withColumn("_least", F.coalesce("_least", "_other"))
+    return found.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
 
-    Null and empty texts have no shingles and link with nothing. Rows with equal ids are one document, with the links of any of them; a row
-    without an id gets its set's component but never names one. An empty table gives no rows, and other columns are ignored.
+
+def first_of_each_group(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of those that links join, directly or through others, one stays.
+
+    It is one with the smallest id; rows without an id come last. Rows are told apart by their
+    texts, so different texts under one id, and rows without an id, are each judged on their own; of rows equal in id and set one
+    stays. Rows without words link with nothing and all stay. An empty table stays empty, and all columns stay as they are.
     """
-    described = stored(spark, describe(docs, id_col, text_col, size), "described")
-    sets = described.where("chunk IS NULL").select("doc_id", "n", "f1", "f2")
-    known = described.where("chunk IS NULL AND n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2")
-    first = stored(spark, known.agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in SIGNATURE)), "sets")
-    found = stored(spark, paired(postings(spark, docs, document_counts(described), id_col, text_col, size, percent), percent), "paired")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        rest = ["rep", "n", *SIGNATURE]
-        for side in ("a", "b"):
-            own = first.select(F.col("f1").alias(f"{side}1"), F.col("f2").alias(f"{side}2"), F.struct(*rest).alias(side))
-            pairs = pairs.join(own, [f"{side}1", f"{side}2"])
-        both = pairs.where("a.rep <> b.rep").where(may_link("a.n", "b.n", "a", "b", percent))
-        return both.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"), *(c for c in ("bits",) if c in pairs.columns)).distinct()
-
-    all_orders = (1 << ORDERS) - 1
-    name = ["a1", "a2", "b1", "b2"]
-    small = found.where("kind = 0").groupBy(*name).agg(F.bit_or(F.expr("shiftleft(1, cast(ord AS int))")).alias("bits"))
-    stars = found.where("kind = 1").select(*name).distinct()
-    pairs = stored(spark, named(small.where(F.col("bits") == all_orders).select(*name).union(stars).distinct()), "pairs")
-    links = verified(spark, pairs, docs, id_col, text_col, size, percent)
-    labels = connected_components(spark, links)
+    rows, sets = set_components(spark, docs, id_col, text_col, size, percent, by_id=False)
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "f1", "f2")
+    best = sets.groupBy("component").agg(F.min(order).alias("b")).select(F.col("b.f1").alias("_f1"), F.col("b.f2").alias("_f2"), F.col("b.rep").alias("_rep"))
+    best = stored(spark, best, "kept-sets")
+    odd = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_k")).where("_k > 1").select(F.col("doc_id").alias("_id"))
+    gone = rows.where("n > 0").join(best, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("doc_id") == F.col("_rep")), "left_anti").select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL")
+    odd = stored(spark, odd, "repeated-ids")
+    gone = stored(spark, gone.union(odd).distinct(), "gone")
+    key = F.col(f"`{id_col}`").cast("long")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.where(key.isNotNull()).join(side, key == F.col("_id"), "left_anti").select(*columns)
+    again = docs.where(key.isNull()).select(*columns)
+    if odd.limit(1).count():
+        again = again.union(docs.join(odd, key == F.col("_id"), "left_semi").select(*columns))
+    elif not rows.where("doc_id IS NULL").limit(1).count():
+        return kept
+    packed = again.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*columns).alias("row"))
 
-    # what large buckets leave open: those whose members are in several components
-    members = found.where("kind = 2").select("ord", "token", F.col("a1").alias("f1"), F.col("a2").alias("f2")).join(first, ["f1", "f2"]).drop("f1", "f2")
-    members = stored(spark, members, "members")
-
-    def split_buckets(labels: DataFrame) -> DataFrame:
-        """Members of those buckets, with their component and the bucket's ``_usual``, the one with most members."""
-        now = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        sizes = now.groupBy("token", "component").agg(F.count("*").alias("_k")).groupBy("token")
-        usual = sizes.agg(F.max_by("component", F.struct("_k", "component")).alias("_usual"), F.count("*").alias("_parts")).where("_parts > 1")
-        return stored(spark, now.join(usual.drop("_parts"), "token"), "split-buckets")
-
-    def probes(split: DataFrame) -> DataFrame:
-        """Each member outside its bucket's usual component with a few of that component, the same few wherever they are together."""
-        few = [F.min_by("rep", F.xxhash64("rep", F.lit(k))) for k in range(LEADERS)]
-        leaders = split.where("component = _usual").groupBy("token").agg(F.array(*few).alias("leaders"))
-        own = split.where("component <> _usual").groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("token")), 1, BUCKETS).alias("tokens")).select("rep", F.explode("tokens").alias("token"))
-        pairs = own.join(leaders, "token").select("rep", F.explode("leaders").alias("other"))
-        return pairs.select(F.least("rep", "other").alias("u"), F.greatest("rep", "other").alias("v")).distinct()
-
-    def passing(pairs: DataFrame) -> DataFrame:
-        rows = first.select("rep", "n", *SIGNATURE)
-        both = pairs.join(rows.alias("a"), F.col("u") == F.col("a.rep")).join(rows.alias("b"), F.col("v") == F.col("b.rep"))
-        return both.where(may_link("a.n", "b.n", "a", "b", percent)).select("u", "v")
-
-    split = split_buckets(labels)
-    for _ in range(ROUNDS):
-        if not split.limit(1).count():
-            break
-        fresh = stored(spark, passing(probes(split)).join(pairs, ["u", "v"], "left_anti"), "probes")
-        more = verified(spark, fresh, docs, id_col, text_col, size, percent)
-        pairs = pairs.union(fresh)
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        labels = connected_components(spark, links)
-        split = split_buckets(labels)
-    if split.limit(1).count():
-        # then nothing is left out: each member outside a bucket's usual component is held against all of other components
-        across = split.where("component <> _usual").alias("a").join(split.alias("b"), F.expr(f"a.token = b.token AND a.component <> b.component AND a.rep <> b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} AND {may_link('a.n', 'b.n', 'a', 'b', percent)}"))
-        across = across.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"), F.expr("shiftleft(1, cast(a.ord AS int))").alias("bits"))
-        rest = across.union(named(small)).groupBy("u", "v").agg(F.bit_or("bits").alias("bits")).where(F.col("bits") == all_orders).select("u", "v")
-        rest = stored(spark, rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-        links = links.union(verified(spark, rest, docs, id_col, text_col, size, percent))
-        labels = connected_components(spark, links)
-    labels = labels.join(first, F.col("node") == F.col("rep")).select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component")
-    reps = first.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "rep").join(labels, ["_f1", "_f2"], "left")
-    # equal sets may be many; the other side has each set once, so a hot one can be split
-    named_docs = sets.join(reps, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("n") > 0), "left")
-    return named_docs.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            shingles, at = shingle_sets(*utf8(batch.column("text")), size)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.diff(at)), *map(pa.array, names_of(shingles, at))], names=["doc_id", "row", "n", "f1", "f2"])
+
+    schema = StructType([packed.schema["doc_id"], packed.schema["row"], *(StructField(x, LongType()) for x in ("n", "f1", "f2"))])
+    named = packed.mapInArrow(run, schema)
+    own = named.where("n > 0").join(best, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    one = own.groupBy("doc_id", "f1", "f2").agg(F.first("row").alias("row")).select("row").union(named.where("n = 0").select("row"))
+    return kept.union(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
