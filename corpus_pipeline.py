@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard, language, mixing, packing, quality
@@ -18,42 +18,63 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those whose best language isn't sure."""
-    found = language.identify(docs, language.learned(docs), keep=docs.columns, names=("__lang", "__sure"))
-    return found.where((F.col("__lang") != "und") & (F.col("__sure") >= LEAST_LANGUAGE)).drop("__lang", "__sure")
+    """Documents without a letter go, also null and empty texts, and those whose best language isn't sure.
+
+    Every row is judged by its own text, so repeated rows go or stay together and a null id or source doesn't matter. A certainty of just
+    LEAST_LANGUAGE stays. An empty table stays empty. Other columns go along, whatever their names.
+    """
+    lang, sure = unused(docs, "lang"), unused(docs, "sure")
+    found = language.identify(docs, language.learned(docs), keep=docs.columns, names=(lang, sure))
+    return found.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_LANGUAGE)).drop(lang, sure)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose lines the field marks as bad, by their length."""
-    found = quality.score(docs, quality.learned(spark, docs, sf_dir), keep=docs.columns, name="__quality")
-    return found.where(F.col("__quality") >= LEAST_QUALITY).drop("__quality")
+    """Documents go whose lines the field marks as bad, by their length.
+
+    Every row is judged by its own text; a null text is an empty one, which has a score as any other. A score of just LEAST_QUALITY stays.
+    An empty table stays empty. Other columns go along, whatever their names.
+    """
+    score = unused(docs, "quality")
+    found = quality.score(docs, quality.learned(spark, docs, sf_dir), keep=docs.columns, name=score)
+    return found.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of 0.8 or more over five-word shingles join, directly or through others, the one with the smallest id stays.
 
-    Rows that share an id are one document, whose smallest text stays; rows without an id can't be told apart and go.
+    Rows are told apart by their texts: texts that differ under one id, and rows without an id, are each judged on their own, rows without an id
+    after the others. Of rows equal in id and words one stays; null and empty texts link with nothing and all stay. An empty table stays
+    empty. Other columns go along, whatever their names.
     """
-    found = stored(spark, jaccard.jaccard_components(spark, docs, size=SHINGLE, percent=SIMILAR), "components")
-    gone = stored(spark, found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_IDS else gone
-    kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return kept
+    return jaccard.first_of_each_group(spark, docs, size=SHINGLE, percent=SIMILAR)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source's words as near to its target as blocks allow: repeated, whole or in part."""
+    """Every source's words as near to its target as words allow: repeated, whole or in part.
+
+    A null source is a source of its own. A null or empty text has no words, so no mix takes it and it goes; rows that repeat are mixed each on
+    its own, rows equal in all that orders them in any order. An empty table stays empty. Other columns go along, whatever their names.
+    """
     return mixing.mixed_rows(spark, docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 2048 ids: a row per piece, with its ids."""
+    """Sequences of up to 2048 ids: a row per piece, with its ids.
+
+    A null or empty text is the single id that ends a document. Rows with equal ids are packed each on its own, null ids are carried along, other
+    columns are left out. An empty table gives no pieces.
+    """
     return packing.pack_sequences(docs, packing.tokenizer_path())
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", known_language),
     ("quality", good_quality),
