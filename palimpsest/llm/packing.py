@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,6 @@ from palimpsest.llm.arrow import small_batches, steps, utf8
 #: Windows that are filled together, the longest piece, and the tokens per window left free so that near-equal windows fit.
 WINDOWS, PIECE, SLACK = 64, 256, 26
 
-#: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 100_000
-
 #: The vocabulary's added tokens, which the ``.tiktoken`` form leaves out: their strings in a text are one id.
 ADDED = {"<|endoftext|>": 50256}
 
@@ -83,10 +81,10 @@ def fill(lengths: list[int], capacity: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[Callable[[list[str]], list], dict]:
-    """What encodes a list of chunks, and the ids it has remembered.
+def _encoder(path: str) -> tuple[Callable[[list[str]], list], Callable[[str], list[int]] | None, np.ndarray]:
+    """What encodes a list of chunks, what encodes a text without added tokens in one go, and each id's bytes.
 
-    A ``.json`` file is read by tokenizers. A ``.tiktoken`` file holds the same
+    A ``.json`` file is read by tokenizers, chunk by chunk. A ``.tiktoken`` file holds the same
     kind of vocabulary as ranks; its library gives equal ids several times faster.
     """
     if path.endswith(".tiktoken"):
@@ -95,25 +93,65 @@ def _encoder(path: str) -> tuple[Callable[[list[str]], list], dict]:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
-
-        def one(chunk: str) -> list[int]:
-            return own.encode(chunk, allowed_special="all") if any(x in chunk for x in ADDED) else own.encode_ordinary(chunk)
-
-        return lambda chunks: list(map(one, chunks)), {}
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            size[rank] = len(token)
+        return lambda chunks: [own.encode(x, allowed_special="all") for x in chunks], own.encode_ordinary, size
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], {}
+    return lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], None, np.zeros(0, np.int64)
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def _encode(chunks: list[str], path: str) -> list[list[int]]:
-    encode, known = _encoder(path)
-    new = [x for x in chunks if x not in known]
-    fresh = dict(zip(new, encode(new), strict=True))
-    out = [known[x] if x in known else fresh[x] for x in chunks]
-    for x in new[: max(0, REMEMBERED - len(known))]:
-        known[x] = fresh[x]
-    return out
+def _may_be_blank(lead: np.ndarray) -> np.ndarray:
+    """First bytes of characters that may be white space."""
+    return (lead == 0xC2) | ((lead >= 0xE1) & (lead <= 0xE3))
+
+
+def _encode(chunks: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct chunks in a row, and how many each has.
+
+    Chunks that begin with a single space and end with an ASCII character that isn't white space split apart again
+    wherever they are put together, so they are encoded as one text; the ids' bytes tell where each ends.
+    """
+    encode, at_once, size = _encoder(path)
+    data, ends = utf8(chunks)
+    n, many = len(chunks), np.diff(ends)
+    plain = np.zeros(n, bool)
+    if at_once is not None and n:
+        long = np.flatnonzero(many >= 2)
+        second, last = data[ends[long] + 1], data[ends[long + 1] - 1]
+        plain[long] = (data[ends[long]] == 32) & ~_blank(second) & ~_may_be_blank(second) & (last < 0x80) & ~_blank(last)
+        for token in ADDED:
+            if token.encode() in data.tobytes():
+                plain &= ~pc.match_substring(chunks, token).to_numpy(zero_copy_only=False)
+    counts, parts = np.zeros(n, np.int64), []
+    whole = np.flatnonzero(plain)
+    if len(whole):
+        joined = data[np.repeat(plain, many)].tobytes().decode()
+        ids = np.array(at_once(joined), np.uint32)
+        upto = np.cumsum(size[ids])
+        stop = np.cumsum(many[whole])
+        past = np.searchsorted(upto, stop) + 1
+        if not np.array_equal(upto[past - 1], stop):
+            raise ValueError("chunks that were put together share a token")
+        counts[whole] = np.diff(past, prepend=0)
+        parts.append((whole, ids))
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        found = encode(chunks.take(pa.array(rest)).to_pylist())
+        counts[rest] = np.fromiter(map(len, found), np.int64, len(rest))
+        parts.append((rest, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts[rest].sum()))))
+    first = np.cumsum(counts) - counts
+    flat = np.zeros(int(counts.sum()), np.uint32)
+    for which, ids in parts:
+        own = counts[which]
+        flat[np.arange(len(ids)) + np.repeat(first[which] - (np.cumsum(own) - own), own)] = ids
+    return flat, counts
 
 
 def _chunk_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -124,14 +162,14 @@ def _chunk_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     space always opens a piece; added tokens hold no white space. A neighbour that could be Unicode white space
     makes the place unsafe; the chunk is then longer, and its ids the same.
     """
-    if len(data) < 3:
-        return np.unique(ends[:-1])
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    lead = (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3))  # of characters that may be white space
-    before = ~blank & (data < 0x80)
-    before[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
-    safe = (data[1:-1] == 32) & before[:-2] & ~blank[2:] & ~lead[2:]
-    return np.union1d(np.flatnonzero(safe) + 1, ends[:-1])
+    at = np.zeros(len(data) + 1, bool)
+    at[ends[:-1]] = True
+    if len(data) >= 3:
+        blank = _blank(data)
+        before = ~blank & (data < 0x80)
+        before[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
+        at[1:-2] |= (data[1:-1] == 32) & before[:-2] & ~blank[2:] & ~_may_be_blank(data[2:])
+    return np.flatnonzero(at[:-1])
 
 
 def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -141,18 +179,17 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """
     data, ends = utf8(column)
     starts = _chunk_starts(data, ends)
-    starts = starts[starts < len(data)]
     chunks = pa.LargeStringArray.from_buffers(
         len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))
     ).dictionary_encode()
-    code = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    encoded = _encode(chunks.dictionary.to_pylist(), path)
-    counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    flat = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(counts.sum()))
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+    code = chunks.indices.to_numpy(zero_copy_only=False)
+    flat, counts = _encode(chunks.dictionary, path)
     first = np.cumsum(counts) - counts
-    many = counts[code] if len(code) else np.zeros(0, np.int64)
+    many = counts[code]
     upto = np.concatenate([[0], np.cumsum(many)])
-    ids = flat[np.arange(upto[-1]) - np.repeat(upto[:-1] - first[code], many)] if len(code) else np.zeros(0, np.uint32)
+    ids = flat[np.arange(upto[-1]) + np.repeat(first[code] - upto[:-1], many)]
     return ids, upto[np.searchsorted(starts, ends)]
 
 
