@@ -28,6 +28,14 @@ def small_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that isn't taken."""
+    lower = {c.lower() for c in taken}
+    while name in lower:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give memory back between tasks: workers stay, and the next stage may be another operator's."""
     pa.default_memory_pool().release_unused()

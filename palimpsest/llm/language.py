@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import small_batches, steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, unused, utf8
 
 #: Documents of each language that are learned from, windows of each, and bytes of a window then: the bounds of the sample.
 DOCUMENTS, WINDOWS, LEARNED = 400, 6, 64
@@ -18,9 +18,6 @@ DOCUMENTS, WINDOWS, LEARNED = 400, 6, 64
 #: Hidden units of a direction, bytes of a window when predicting, and windows multiplied at once.
 UNITS, WINDOW, BATCH = 8, 128, 2048
 
-#: Languages that are learned at most: those with the most documents.
-LANGUAGES = 64
-
 #: The symbol after a window's last byte.
 PAD = 256
 
@@ -192,6 +189,7 @@ def document_probabilities(net: Network, data: np.ndarray, ends: np.ndarray, win
     begin = ends[:-1][doc] + nth * window
     length = np.minimum(window, ends[1:][doc] - begin)
     sums = np.zeros((len(doc), len(net.languages)))
+    batch = max(32, batch * 64 // max(64, len(net.languages)))
     padded = np.concatenate([data, np.zeros(window, np.uint8)])
     order = np.argsort(-length, kind="stable")  # windows of like length together: short ones need few steps
     for at in range(0, len(order), batch):
@@ -209,15 +207,16 @@ def document_probabilities(net: Network, data: np.ndarray, ends: np.ndarray, win
 
 def sample_windows(docs: DataFrame, labels: Column, allowed: Column, id_col: str, text_col: str, documents: int = DOCUMENTS, windows: int = WINDOWS, length: int = LEARNED) -> tuple[list[bytes], list[str]]:
     """A bounded sample: about ``documents`` of each language, by a hash of the id, and ``windows`` spread over each of their texts."""
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), labels.alias("label")).where(
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), labels.alias("label")).where(
         allowed & F.col("label").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)
     )
-    counts = {r["label"]: r["count"] for r in named.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = named.groupBy("label").agg(F.count("*").alias("_n"))
+    languages = counts.count()
+    if not languages:
         return [], []
     share = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
-    below = F.coalesce(*[F.when(F.col("label") == k, min(1.0, documents / n)) for k, n in counts.items()], F.lit(0.0))
-    picked = named.where(share < below)
+    # a label of few documents has all of them, so every label is learned
+    picked = named.join(counts, "label").where(share * F.col("_n") < documents).select("id", "text", "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +230,7 @@ def sample_windows(docs: DataFrame, labels: Column, allowed: Column, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["id", "label", "place", "window"])
 
     cuts = picked.mapInArrow(cut, "id string, label string, place long, window binary")
-    rows = cuts.orderBy(F.xxhash64("id"), "id", "label", "place").limit(2 * documents * windows * len(counts)).collect()
+    rows = cuts.orderBy(F.xxhash64("id"), "id", "label", "place").limit(2 * documents * windows * languages).collect()
     rows.sort(key=lambda r: (r["id"] or "", r["label"], r["place"], bytes(r["window"])))
     return [bytes(r["window"]) for r in rows], [r["label"] for r in rows]
 
@@ -244,15 +243,16 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     a few MB of texts is held at a time.
     """
     keep = [id_col] if keep is None else keep
-    text = text_col if text_col in keep else "__text"
+    text = text_col if text_col in keep else unused("text", [*keep, *names])
+    letter_col = unused("letter", [*keep, *names, text])
     given = F.col(f"`{text_col}`").cast("string")
-    has_letter = F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias("__letter")
-    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text == text_col else [given.alias(text)]), has_letter)
+    has_letter = F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias(letter_col)
+    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [given.alias(text)]), has_letter)
     schema = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
-            letter = batch.column("__letter").to_numpy(zero_copy_only=False)
+            letter = batch.column(letter_col).to_numpy(zero_copy_only=False)
             if net is None:
                 found, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import small_batches, steps, utf8
+from palimpsest.llm.arrow import small_batches, steps, unused, utf8
 
 #: Documents of each label that are learned from, and lines of each: the bounds of the sample.
 DOCUMENTS, LINES = 1200, 64
 
+#: Lines whose features are held at a time (some 500 bytes each).
+BLOCK = 1 << 14
+
 #: What kind of byte each is. Letters of either case, digits, blanks, and punctuation by use.
 KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100)), "digit": b"0123456789", "blank": b" \t\r\v\f",
@@ -56,8 +60,22 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return lines.take(pa.array(np.arange(len(begin)) * 2)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
-def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines, WIDTH) features, the lines' lengths in bytes, and the lines of each document."""
+def _again(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+    """Whether a line's text comes more than once in its document; an empty line's doesn't count."""
+    out = np.zeros(len(begin), bool)
+    full = np.flatnonzero(end > begin)
+    text = _hashes(data, begin[full], end[full]).astype(np.int64)
+    text = text if doc is None else doc[full] * (len(data) + len(begin) + 1) + text
+    _, where, copies = np.unique(text, return_inverse=True, return_counts=True)
+    out[full] = copies[where] > 1
+    return out
+
+
+def features(data: np.ndarray, ends: np.ndarray, again: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, WIDTH) features, the lines' lengths in bytes, and the lines of each document.
+
+    ``again`` tells of each line whether its document has it more than once, where the bytes are only part of the document.
+    """
     begin, end, many = lines_of(data, ends)
     n, size = len(begin), end - begin
     # every byte's line; a break belongs to the line that it ends
@@ -74,9 +92,7 @@ def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     words = counts[:, NAMES.index("blank")] + 1
     letters = np.maximum(counts[:, 0] + counts[:, 1], 1)
     doc = np.repeat(np.arange(len(many)), many)
-    text = _hashes(data, begin, end).astype(np.int64)
-    _, where, copies = np.unique(doc * (len(data) + n + 1) + text, return_inverse=True, return_counts=True)
-    again = (copies[where] > 1) & (size > 0)
+    again = _again(data, begin, end, doc) if again is None else again
     gap = np.isin(data, np.frombuffer(b" \t\r\v\f\n", np.uint8))
     word = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1] | (line[1:] != line[:-1])])) if len(data) else np.zeros(0, np.int64)
     upto = np.minimum(np.append(np.flatnonzero(gap), len(data))[np.searchsorted(np.flatnonzero(gap), word)], end[line[word]])
@@ -101,6 +117,24 @@ def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, size, many
 
 
+class Lines:
+    """One document's lines, whose features are made for a run of them at a time."""
+
+    def __init__(self, data: np.ndarray):
+        breaks = np.flatnonzero(data == 10)
+        breaks = breaks.astype(np.int32) if len(data) < 1 << 31 else breaks
+        self.data, self.n = data, len(breaks) + 1
+        self.begin, self.end = np.concatenate([breaks[:0], [0], breaks + 1]).astype(breaks.dtype), np.append(breaks, len(data)).astype(breaks.dtype)
+        self.again = _again(data, self.begin, self.end)
+
+    def features(self, first: int, past: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and lengths of the lines from ``first`` to before ``past``, as the whole document gives them."""
+        low, high = max(0, first - 1), min(self.n, past + 1)
+        part = self.data[self.begin[low] : self.end[high - 1]]
+        x, size, _ = features(part, np.array([0, len(part)]), self.again[low:high])
+        return x[first - low : past - low], size[first - low : past - low]
+
+
 @dataclass
 class Chain:
     """``weights`` of a line's features for good against bad, ``turn`` from label to label, and the line from a document's mean to its score."""
@@ -175,9 +209,78 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def long_marginals(emit: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """P(good) of every line of one document: the chain is cut into about as many pieces as a piece has lines.
+
+    The pieces' products of steps are made side by side, carried from piece to piece, and then each piece's messages, again side by side;
+    besides the scores it takes two numbers a line.
+    """
+    n, turns = len(emit), np.exp(turn - turn.max())
+    length = max(1, int(np.sqrt(n)))
+    pieces = -(-n // length)
+    score = np.zeros(pieces * length)
+    score[:n] = emit
+    score = np.ascontiguousarray(score.reshape(pieces, length).T)  # (places, pieces)
+    real = np.ascontiguousarray((np.arange(pieces * length) < n).reshape(pieces, length).T)
+
+    def step(t: int) -> np.ndarray:
+        """(labels before, labels now, pieces); nothing changes beyond the document's end, and nothing comes before its first line."""
+        weight = np.exp(np.stack([-np.maximum(score[t], 0), np.minimum(score[t], 0)]))
+        out = turns[:, :, None] * weight[None]
+        if t == 0:
+            out[:, :, 0] = weight[None, :, 0]
+        return np.where(real[t], out, np.eye(2)[:, :, None])
+
+    whole = np.repeat(np.eye(2)[:, :, None], pieces, 2)
+    for t in range(length):
+        whole = np.einsum("ijp,jkp->ikp", whole, step(t))
+        whole /= whole.sum((0, 1))
+    ahead, behind = np.full((2, pieces), 0.5), np.full((2, pieces), 0.5)
+    for p in range(1, pieces):
+        ahead[:, p] = ahead[:, p - 1] @ whole[:, :, p - 1]
+        ahead[:, p] /= ahead[:, p].sum()
+    for p in range(pieces - 2, -1, -1):
+        behind[:, p] = whole[:, :, p + 1] @ behind[:, p + 1]
+        behind[:, p] /= behind[:, p].sum()
+    good = np.empty((length, pieces))
+    for t in range(length):
+        ahead = np.einsum("ip,ijp->jp", ahead, step(t))
+        ahead /= ahead.sum(0)
+        good[t] = ahead[1]
+    for t in range(length - 1, -1, -1):
+        both = good[t] * behind[1]
+        good[t] = both / (both + (1 - good[t]) * behind[0])
+        behind = np.einsum("ijp,jp->ip", step(t), behind)
+        behind /= behind.sum(0)
+    return good.T.ravel()[:n]
+
+
+def _long_mean(chain: Chain, data: np.ndarray) -> float:
+    """The mean of a document of many lines, whose features are made a block at a time."""
+    lines = Lines(data)
+    emit = np.empty(lines.n)
+    for at in range(0, lines.n, BLOCK):
+        to = min(at + BLOCK, lines.n)
+        emit[at:to] = lines.features(at, to)[0] @ chain.weights
+    good = long_marginals(emit, chain.turn)
+    size = (lines.end - lines.begin).astype(np.float64) + 1
+    return float((good * size).sum() / size.sum())
+
+
 def score_documents(chain: Chain, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    x, size, many = features(data, ends)
-    return 1 / (1 + np.exp(-(chain.slope * _logit(means(marginals(chain, x, many), size, many)) + chain.lift)))
+    """Each document's score; documents of up to BLOCK lines together are looked at at once, one of more lines alone."""
+    lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), ends)) + 1
+    upto, out, at = np.concatenate([[0], np.cumsum(lines)]), np.empty(len(lines)), 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, "right")) - 1)
+        own = data[ends[at] : ends[to]]
+        if lines[at] > BLOCK:
+            out[at] = _long_mean(chain, own)
+        else:
+            x, size, many = features(own, ends[at : to + 1] - ends[at])
+            out[at:to] = means(marginals(chain, x, many), size, many)
+        at = to
+    return 1 / (1 + np.exp(-(chain.slope * _logit(out) + chain.lift)))
 
 
 def train(x: np.ndarray, size: np.ndarray, many: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 120, rate: float = 0.12, decay: float = 1e-4) -> Chain:
@@ -225,7 +328,7 @@ def train(x: np.ndarray, size: np.ndarray, many: np.ndarray, label: np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, documents: int = DOCUMENTS, lines: int = LINES) -> Chain | None:
-    """Learn from a bounded sample: for each label ``documents`` ids of ``labels`` by hash, and ``lines`` spread over each text.
+    """Learn from a bounded sample: for each label ``documents`` ids of ``labels`` by hash, and a run of ``lines`` lines of each text, from a place by the id's hash.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and quality. Only features come to the driver. None where either label has no text.
     """
@@ -239,12 +342,13 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, documents: int = DO
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            x, size, many = features(*utf8(batch.column("text")))
-            first = np.cumsum(many) - many
+            data, ends = utf8(batch.column("text"))
             out = []
             for k, (doc, quality) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), strict=True)):
-                at = np.unique(np.linspace(first[k], first[k] + many[k] - 1, min(lines, many[k])).astype(np.int64))
-                out.append((doc, quality, size[at].astype("<i8").tobytes(), x[at].astype("<f4").tobytes()))
+                own = Lines(data[ends[k] : ends[k + 1]])
+                at = zlib.crc32(str(doc).encode()) % (max(0, own.n - lines) + 1)
+                x, size = own.features(at, min(own.n, at + lines))
+                out.append((doc, quality, size.astype("<i8").tobytes(), x.astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "quality", "size", "x"])
 
     found = rows.mapInArrow(describe, "doc_id long, quality long, size binary, x binary").limit(4 * documents).collect()
@@ -265,8 +369,8 @@ def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col
     gives one row, and an empty table none. Where nothing was learned every score is 0.5.
     """
     keep = [id_col] if keep is None else keep
-    text = text_col if text_col in keep else "__text"
-    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text == text_col else [F.col(f"`{text_col}`").cast("string").alias(text)]))
+    text = text_col if text_col in keep else unused("text", [*keep, name])
+    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [F.col(f"`{text_col}`").cast("string").alias(text)]))
     schema = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,9 @@
+import zlib
+
 import numpy as np
+import regex
 from cases import ROWS, documents, nothing
+from pyspark.sql import functions as F
 
 from palimpsest.llm import language as L
 
@@ -81,3 +85,29 @@ def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     found = L.op1_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in found) / len(found) >= 0.9
+
+
+def test_every_language_is_learned(spark):
+    rows = [(5 * k + i, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} words " * 3, f"l{k}", "a") for k in range(70) for i in range(1, 5)]
+    windows, labels = L.sample_windows(documents(spark, rows), F.col("lang"), L.learnable(), "doc_id", "text")
+    known = {la for i, _, la, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert len(known) > 64 and set(labels) == known
+
+
+def test_query_against_documents_one_by_one(spark, sf):
+    """Each document by itself, window by window and position by position."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = L.learned(docs)
+    found = {r["doc_id"]: r for r in L.op1_language(spark, sf).collect()}
+    for r in docs.collect():
+        raw, got = (r["text"] or "").encode(), found[r["doc_id"]]
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if not regex.search(r"\p{L}", r["text"] or ""):
+            assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+            continue
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(raw), L.WINDOW):
+            symbols = np.frombuffer(raw[at : at + L.WINDOW], np.uint8).astype(np.intp)[:, None]
+            total += sum(p[:, 0] for p in L.position_probabilities(net, symbols, np.ones(len(symbols), np.intp)))
+        p = total / len(raw)
+        assert abs(p.max() - got["score"]) < 2e-4 and p[net.languages.index(got["lang_pred"])] > p.max() - 2e-4
