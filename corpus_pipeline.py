@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import jaccard, language, mixing, packing, quality
+from palimpsest.llm.arrow import unused
 from palimpsest.workspace import stored
 
 #: A document stays if its language is as sure as this, and its quality this high.
@@ -23,7 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Every row is judged by its own text, so repeated rows go or stay together and a null id or source doesn't matter. A certainty of just
     LEAST_LANGUAGE stays. An empty table stays empty. Other columns go along, whatever their names.
     """
-    lang, sure = unused(docs, "lang"), unused(docs, "sure")
+    lang, sure = unused("lang_pred", docs.columns), unused("sure", docs.columns)
     found = language.identify(docs, language.learned(docs), keep=docs.columns, names=(lang, sure))
     return found.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_LANGUAGE)).drop(lang, sure)
 
@@ -34,7 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Every row is judged by its own text; a null text is an empty one, which has a score as any other. A score of just LEAST_QUALITY stays.
     An empty table stays empty. Other columns go along, whatever their names.
     """
-    score = unused(docs, "quality")
+    score = unused("quality", docs.columns)
     found = quality.score(docs, quality.learned(spark, docs, sf_dir), keep=docs.columns, name=score)
     return found.where(F.col(score) >= LEAST_QUALITY).drop(score)
 
@@ -67,14 +68,6 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(docs, packing.tokenizer_path())
 
 
-def unused(docs: DataFrame, name: str) -> str:
-    """A column name that the table doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", known_language),
     ("quality", good_quality),
