@@ -66,29 +66,59 @@ def sainte_lague(wanted: list[float], seats: int, most: list[int]) -> list[int]:
     return got
 
 
+#: Rounds of the permutation of a source's blocks, and the prime that its sums are taken by.
+ROUNDS, PRIME = 4, (1 << 31) - 1
+
+
+def permuted(blocks: np.ndarray, side: int, keys: tuple[tuple[int, int, int], ...]) -> np.ndarray:
+    """A keyed permutation of the numbers below ``side`` squared: the two digits by ``side``, one after the other, are moved by a function of the other."""
+    left, right = blocks // side, blocks % side
+    for a, b, c in keys:
+        left, right = right, (left + (right * a + b) % PRIME * (right + c) % PRIME) % side
+    return left * side + right
+
+
+#: The same in SQL, of the block ``b``.
+PERMUTED = f"""aggregate(_keys, struct(b div _side AS l, b % _side AS r),
+  (s, k) -> struct(s.r AS l, (s.l + (s.r * k.a + k.b) % {PRIME}L * (s.r + k.c) % {PRIME}L) % _side AS r), s -> s.l * _side + s.r)"""
+
+
 @dataclass(frozen=True)
 class Quota:
-    """What one source gives: ``shares`` are its blocks in each shard, ``words`` what it gives in all, settled to the word."""
+    """What one source gives: ``shares`` are its blocks in each shard, ``words`` what it gives in all, settled to the word.
+
+    Blocks are taken in the order of their permuted numbers, pass after pass. Of the last pass those below ``full`` are taken whole, and
+    ``part`` words of that at ``full``. ``bounds`` are the first numbers of each shard, counted on from pass to pass.
+    """
 
     source: str | None
     source_size: int
     target: float
     blocks: int
     shares: tuple[int, ...]
-    step: int
-    shift: int
     words: int
-
-    def last_pass(self, block: int) -> tuple[int, int]:
-        """Of the last pass: how many blocks, in the permutation's order, are taken whole, and how many words of the one after.
-
-        The source's last block may be shorter than the others.
-        """
-        rest, n = self.words % max(1, self.source_size), max(1, self.blocks)
-        last = self.source_size - (n - 1) * block
-        if rest >= (self.step * (n - 1) + self.shift) % n * block + last:
-            rest += block - last
-        return rest // block, rest % block
+    side: int
+    keys: tuple[tuple[int, int, int], ...]
+    full: int
+    part: int
+    bounds: tuple[int, ...]
+
+
+def quota(source: str | None, size: int, target: float, shares: tuple[int, ...], words: int, block: int, seed: int) -> Quota:
+    """Settle which blocks a source gives: the seeded permutation, where it ends and where each shard's blocks begin."""
+    n = max(1, -(-size // block))
+    side, rng = math.isqrt(n - 1) + 1, random.Random(f"{seed}/{source!r}")
+    keys = tuple((rng.randrange(1, PRIME), rng.randrange(PRIME), rng.randrange(PRIME)) for _ in range(ROUNDS))
+    number = permuted(np.arange(n, dtype=np.int64), side, keys)
+    order = np.argsort(number)
+    lengths = np.full(n, block, np.int64)
+    lengths[-1] = size - (n - 1) * block
+    upto, rest = np.cumsum(lengths[order]), words % max(1, size)
+    whole = int(np.searchsorted(upto, rest, "right"))
+    part = rest - int(upto[whole - 1]) if whole else rest
+    starts = np.cumsum([0, *shares[:-1]]) if shares else []
+    bounds = tuple(int(c // n * side * side + number[order[c % n]]) for c in starts)
+    return Quota(source, size, target, n, shares, words, side, keys, int(number[order[whole]]) if whole < n else side * side, part, (0, *bounds[1:]))
 
 
 def plan(sizes: dict[str | None, int], seed: int = 0, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> tuple[int, list[Quota]]:
@@ -102,7 +132,7 @@ def plan(sizes: dict[str | None, int], seed: int = 0, shards: int = SHARDS, weig
     """
     total = sum(sizes.values())
     if not total:
-        return 1, [Quota(x, n, 0.0, 0, (0,) * shards, 1, 0, 0) for x, n in sizes.items()]
+        return 1, [quota(x, n, 0.0, (0,) * shards, 0, 1, seed) for x, n in sizes.items()]
     wanted = targets(sizes, weights, repeats)
     smallest = min(x for x in wanted.values() if x > 0)
     block = max(1, total // MOST_BLOCKS, min(total // BLOCKS, int(smallest) // LEAST_BLOCKS))
@@ -113,10 +143,8 @@ def plan(sizes: dict[str | None, int], seed: int = 0, shards: int = SHARDS, weig
     words = sainte_lague([wanted[x] for x in names], total, [repeats * sizes[x] for x in names])
     out = []
     for i, name in enumerate(names):
-        rng = random.Random(f"{seed}/{name!r}")
-        n = max(1, blocks[i])
-        step = next(x for x in (rng.randrange(1, n + 1) for _ in iter(int, 1)) if math.gcd(x, n) == 1)
-        out.append(Quota(name, sizes[name], wanted[name], blocks[i], tuple(upto[j + 1][i] - upto[j][i] for j in range(shards)), step, rng.randrange(n), words[i]))
+        shares = tuple(upto[j + 1][i] - upto[j][i] for j in range(shards))
+        out.append(quota(name, sizes[name], wanted[name], shares, words[i], block, seed))
     return block, out
 
 
@@ -136,12 +164,12 @@ def mix_sources(
 
     Each source's documents, in a seeded order, are one stream of words that
     is cut into blocks of equal tokens. Apportionment gives every source its
-    number of words; it passes whole over the stream as often as that allows, and a
-    seeded permutation picks the blocks of the last, partial pass, the last of them in part.
+    number of blocks in each shard, and of words in all; a seeded permutation orders the blocks, which are
+    taken in that order, pass after pass, the last of them in part. Each shard takes as many as its quota says.
 
     Gives the id and source, ``size`` (words), ``source_size``, ``target``,
-    ``taken`` (words, repeats counted), ``passes`` (whole uses) and ``spans``
-    (word ranges of one more use, in order).
+    ``taken`` (words, repeats counted), ``passes`` (whole uses) and ``spans``: the
+    word ranges of each use, in order, with their ``pass`` and ``shard``.
 
     A null text has no words; a null source is a source of its own, last in
     order. Rows that repeat count each on their own. A source without words has target
@@ -160,23 +188,23 @@ def mix_sources(
     sizes = {r["source"]: r["n"] for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     block, quotas = plan(sizes, seed, shards, weights, repeats)
     table = spark.createDataFrame(
-        [
-            (q.source, q.source_size, q.target, q.words // max(1, q.source_size), *q.last_pass(block), max(1, q.blocks), q.step, q.shift)
-            for q in quotas
-        ],
-        "_name string, source_size long, target double, passes long, _full long, _part long, _blocks long, _step long, _shift long",
+        [(q.source, q.source_size, q.target, q.words // max(1, q.source_size), q.full, q.part, q.side, list(q.keys), list(q.bounds)) for q in quotas],
+        "_name string, source_size long, target double, passes long, _full long, _part long, _side long, _keys array<struct<a:long,b:long,c:long>>, _bounds array<long>",
     )
     table = F.broadcast(table) if len(quotas) <= BROADCAST_SOURCES else table
     ordered = with_running_totals(spark, narrow, "source", ["_at", id_col], "size")
     placed = ordered.join(table, F.col("source").eqNullSafe(F.col("_name"))).withColumn("_end", F.col("before") + F.col("size"))
+    own = f"IF(size = 0, CAST(array() AS array<bigint>), sequence(before div {block}, (_end - 1) div {block}))"
+    placed = placed.withColumn("_own", F.expr(f"transform({own}, b -> struct(b AS b, {PERMUTED} AS at))"))
+    begin = f"greatest(x.b * {block}, before)"
+    shard = "cast(size(filter(_bounds, y -> y <= p * _side * _side + x.at)) - 1 AS int)"
     spans = F.expr(
-        f"""IF(size = 0 OR _full + _part = 0, CAST(array() AS array<struct<begin:bigint,end:bigint>>), transform(
-              filter(sequence(before div {block}, (_end - 1) div {block}), b ->
-                pmod(_step * b + _shift, _blocks) < _full OR (pmod(_step * b + _shift, _blocks) = _full AND _part > greatest(before - b * {block}, 0))),
-              b -> struct(greatest(b * {block}, before) - before AS begin,
-                least(b * {block} + IF(pmod(_step * b + _shift, _blocks) = _full, _part, {block}), _end) - before AS end)))"""
+        f"""flatten(transform(sequence(0L, passes), p -> transform(
+              filter(_own, x -> p < passes OR x.at < _full OR (x.at = _full AND _part > {begin} - x.b * {block})),
+              x -> struct({begin} - before AS begin,
+                least(x.b * {block} + IF(p = passes AND x.at = _full, _part, {block}), _end) - before AS end, p AS pass, {shard} AS shard))))"""
     )
-    taken = F.expr("passes * size + aggregate(spans, 0L, (sum, x) -> sum + x.end - x.begin)")
+    taken = F.expr("aggregate(spans, 0L, (sum, x) -> sum + x.end - x.begin)")
     return placed.withColumn("spans", spans).select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans", *(["row"] if carry else []))
 
 
@@ -206,6 +234,8 @@ def mixed_rows(spark: SparkSession, docs: DataFrame, text_col: str = "text", len
                 texts += [whole[k]] * passes
                 runs: list[list[int]] = []
                 for span in spans:
+                    if span["pass"] < passes:
+                        continue
                     if runs and runs[-1][1] == span["begin"]:
                         runs[-1][1] = span["end"]
                     else:

@@ -1,8 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from cases import ROWS, documents, nothing
+from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing as M
 
@@ -87,18 +89,61 @@ def test_small_sources_meet_their_targets_whatever_the_block(spark, monkeypatch,
     assert sum(r["taken"] for r in found) == sum(sizes.values())
 
 
-def test_words_of_the_last_pass_add_up():
+def test_words_of_the_last_pass_and_shares_of_shards_add_up():
     rng = random.Random(3)
     for _ in range(300):
         size, block = rng.randrange(1, 60), rng.randrange(1, 20)
         n, want = -(-size // block), rng.randrange(3 * size + 1)
-        step = next(x for x in range(rng.randrange(1, n + 1), 2 * n + 2) if M.math.gcd(x, n) == 1)
-        q = M.Quota("a", size, 0.0, n, (), step, rng.randrange(n), want)
-        full, part = q.last_pass(block)
-        ranks = [(q.step * b + q.shift) % n for b in range(n)]
+        shares = tuple(rng.randrange(2 * n) for _ in range(4))
+        q = M.quota("a", size, 0.0, shares, want, block, rng.random())
+        ranks = M.permuted(np.arange(n), q.side, q.keys).tolist()
+        assert len(set(ranks)) == n and max(ranks) < q.side**2
         lengths = [min(block, size - b * block) for b in range(n)]
-        assert sum(x for x, r in zip(lengths, ranks, strict=True) if r < full) + part == want % size
-        assert all(part < x for x, r in zip(lengths, ranks, strict=True) if r == full)
+        assert sum(x for x, r in zip(lengths, ranks, strict=True) if r < q.full) + q.part == want % size
+        assert all(q.part < x for x, r in zip(lengths, ranks, strict=True) if r == q.full)
+        seats = [p * q.side**2 + r for p in range(9) for r in ranks]
+        for j in range(3):
+            assert sum(q.bounds[j] <= x < q.bounds[j + 1] for x in seats) == shares[j]
+
+
+def brute(rows, seed, spark):
+    """Every word by itself: its block, the block's place in the permutation, and whether a pass takes it."""
+    docs = documents(spark, rows, extra=False).select("doc_id", "source", "text", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("at")).collect()
+    sizes = {}
+    for r in docs:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + words(r["text"])
+    block, quotas = M.plan(sizes, seed)
+    taken, shards = {}, {}
+    for q in quotas:
+        ranks, at = M.permuted(np.arange(q.blocks), q.side, q.keys).tolist(), 0
+        for r in sorted((r for r in docs if r["source"] == q.source), key=lambda r: (r["at"], r["doc_id"])):
+            taken[r["doc_id"]] = 0
+            for _ in range(words(r["text"])):
+                b, inside = divmod(at, block)
+                at += 1
+                for p in range(4):
+                    if (p + 1) * q.source_size <= q.words or (p * q.source_size <= q.words and (ranks[b] < q.full or (ranks[b] == q.full and inside < q.part))):
+                        taken[r["doc_id"]] += 1
+                        shard = max(j for j in range(8) if q.bounds[j] <= p * q.side**2 + ranks[b])
+                        shards[q.source, shard] = shards.get((q.source, shard), 0) + 1
+    return taken, shards, block, quotas
+
+
+def test_taken_words_against_words_one_by_one(spark, sf):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for some in (rows, rows_of()):
+        taken, shards, block, quotas = brute(some, 0, spark)
+        found = M.mix_sources(spark, documents(spark, some, extra=False)).collect()
+        assert {r["doc_id"]: r["taken"] for r in found} == taken
+        got = {}
+        for r in found:
+            for x in r["spans"]:
+                got[r["source"], x["shard"]] = got.get((r["source"], x["shard"]), 0) + x["end"] - x["begin"]
+        assert got == shards
+        for q in quotas:  # a shard's words are its quota of blocks, but for blocks cut short and the last shard, which takes what words leave over
+            for j, share in enumerate(q.shares[:-1]):
+                assert abs(shards.get((q.source, j), 0) - share * block) <= (1 + q.words // max(1, q.source_size)) * block + block
+    assert {r["doc_id"]: r["taken"] for r in M.op8_mixing(spark, sf).collect()} == brute(rows, 0, spark)[0]
 
 
 def test_edges(spark):
