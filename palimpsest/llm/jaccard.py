@@ -594,16 +594,17 @@ def first_of_each_group(spark: SparkSession, docs: DataFrame, id_col: str = "doc
     gone = rows.where("n > 0").join(best, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & (F.col("doc_id") == F.col("_rep")), "left_anti").select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL")
     odd = stored(spark, odd, "repeated-ids")
     gone = stored(spark, gone.union(odd).distinct(), "gone")
-    key = F.col(f"`{id_col}`").cast("long")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    plain = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, own, strict=True)))
+    key = F.col(own[docs.columns.index(id_col)]).cast("long")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.where(key.isNotNull()).join(side, key == F.col("_id"), "left_anti").select(*columns)
-    again = docs.where(key.isNull()).select(*columns)
+    kept = plain.where(key.isNotNull()).join(side, key == F.col("_id"), "left_anti")
+    again = plain.where(key.isNull())
     if odd.limit(1).count():
-        again = again.union(docs.join(odd, key == F.col("_id"), "left_semi").select(*columns))
+        again = again.union(plain.join(odd, key == F.col("_id"), "left_semi"))
     elif not rows.where("doc_id IS NULL").limit(1).count():
-        return kept
-    packed = again.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*columns).alias("row"))
+        return kept.toDF(*docs.columns)
+    packed = again.select(key.alias("doc_id"), F.col(own[docs.columns.index(text_col)]).cast("string").alias("text"), F.struct(*own).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -612,9 +613,9 @@ def first_of_each_group(spark: SparkSession, docs: DataFrame, id_col: str = "doc
 
     schema = StructType([packed.schema["doc_id"], packed.schema["row"], *(StructField(x, LongType()) for x in ("n", "f1", "f2"))])
     named = packed.mapInArrow(run, schema)
-    own = named.where("n > 0").join(best, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    one = own.groupBy("doc_id", "f1", "f2").agg(F.first("row").alias("row")).select("row").union(named.where("n = 0").select("row"))
-    return kept.union(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
+    first = named.where("n > 0").join(best, (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")) & F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    one = first.groupBy("doc_id", "f1", "f2").agg(F.first("row").alias("row")).select("row").union(named.where("n = 0").select("row"))
+    return kept.union(one.select("row.*")).toDF(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

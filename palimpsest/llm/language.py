@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import small_batches, steps, unused, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 
 #: Documents of each language that are learned from, windows of each, and bytes of a window then: the bounds of the sample.
 DOCUMENTS, WINDOWS, LEARNED = 400, 6, 64
@@ -243,26 +243,26 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     a few MB of texts is held at a time.
     """
     keep = [id_col] if keep is None else keep
-    text = text_col if text_col in keep else unused("text", [*keep, *names])
-    letter_col = unused("letter", [*keep, *names, text])
+    own = [f"c{i}" for i in range(len(keep))]  # names that Arrow functions take, whatever the columns are called
+    text = own[keep.index(text_col)] if text_col in keep else "text"
     given = F.col(f"`{text_col}`").cast("string")
-    has_letter = F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias(letter_col)
-    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [given.alias(text)]), has_letter)
-    schema = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c in keep)
+    has_letter = F.coalesce(given.rlike(r"\p{L}"), F.lit(False)).alias("letter")
+    slim = small_batches(docs).select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, own, strict=True)), *([] if text_col in keep else [given.alias(text)]), has_letter)
+    schema = "".join(f"{c} {t}, " for c, t in slim.dtypes if c in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
-            letter = batch.column(letter_col).to_numpy(zero_copy_only=False)
+            letter = batch.column("letter").to_numpy(zero_copy_only=False)
             if net is None:
                 found, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             else:
                 p = document_probabilities(net, *utf8(batch.column(text)))
                 found = [net.languages[k] if x else "und" for k, x in zip(p.argmax(1).tolist(), letter.tolist(), strict=True)]
                 score = np.where(letter, np.round(np.clip(p.max(1), 0, 1), 6), 0.0)
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*keep, *names])
+            kept = [batch.column(c) for c in own]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*own, "found", "sure"])
 
-    return slim.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return slim.mapInArrow(run, f"{schema}found string, sure double").toDF(*keep, *names)
 
 
 def learnable(id_col: str = "id") -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import small_batches, steps, utf8
+from palimpsest.llm.arrow import STEP_BYTES, small_batches, steps, utf8
 from palimpsest.operators.ordering import with_running_totals
 from palimpsest.workspace import stored
 
@@ -174,7 +174,7 @@ def mix_sources(
     A null text has no words; a null source is a source of its own, last in
     order. Rows that repeat count each on their own. A source without words has target
     0. An empty table gives no rows. Other columns are ignored, but for those that ``carry`` names: they go
-    along as the struct ``row``.
+    along as ``c0``, ``c1`` and so on.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(
@@ -182,7 +182,7 @@ def mix_sources(
         F.col(source_col).alias("source"),
         F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("_at"),
-        *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []),
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)),
     )
     narrow = narrow if carry else stored(spark, narrow, "sizes")
     sizes = {r["source"]: r["n"] for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -205,7 +205,19 @@ def mix_sources(
                 least(x.b * {block} + IF(p = passes AND x.at = _full, _part, {block}), _end) - before AS end, p AS pass, {shard} AS shard))))"""
     )
     taken = F.expr("aggregate(spans, 0L, (sum, x) -> sum + x.end - x.begin)")
-    return placed.withColumn("spans", spans).select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans", *(["row"] if carry else []))
+    return placed.withColumn("spans", spans).select(id_col, "source", "size", "source_size", "target", taken.alias("taken"), "passes", "spans", *(f"c{i}" for i in range(len(carry))))
+
+
+def _bounded(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about STEP_BYTES characters together at most."""
+    at = held = 0
+    for k, x in enumerate(texts):
+        held += len(x or "")
+        if held > STEP_BYTES and k > at:
+            yield at, k
+            at, held = k, len(x or "")
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def mixed_rows(spark: SparkSession, docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
@@ -214,7 +226,7 @@ def mixed_rows(spark: SparkSession, docs: DataFrame, text_col: str = "text", len
     Such a row's text goes from the run's first word to its last, and ``length_col``, where there is one, is its length.
     """
     columns = small_batches(docs).columns
-    found = mix_sources(spark, docs, text_col=text_col, carry=tuple(columns), **options).select("passes", "spans", *(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(columns)))
+    found = mix_sources(spark, docs, text_col=text_col, carry=tuple(columns), **options).select("passes", "spans", *(f"c{i}" for i in range(len(columns))))
     text, length = f"c{columns.index(text_col)}", f"c{columns.index(length_col)}" if length_col in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +257,13 @@ def mixed_rows(spark: SparkSession, docs: DataFrame, text_col: str = "text", len
                     to = min(int(stop[np.searchsorted(stop, last)]), int(ends[k + 1]))
                     rows.append(k)
                     texts.append(raw[begin[first[k] + a] : to].decode())
-            if rows:
-                out = batch.take(pa.array(rows)).select(names)
-                out = out.set_column(names.index(text), text, pa.array(texts, out.schema.field(text).type))
+            for low, past in _bounded(texts):  # a document's other columns go along with each of its runs, its text doesn't
+                own = pa.array(rows[low:past])
+                made = {c: batch.column(c).take(own) for c in names if c not in (text, length)}
+                made[text] = pa.array(texts[low:past], batch.column(text).type)
                 if length:
-                    sizes = [None if x is None else len(x) for x in texts]
-                    out = out.set_column(names.index(length), length, pa.array(sizes, out.schema.field(length).type))
-                yield out
+                    made[length] = pa.array([None if x is None else len(x) for x in texts[low:past]], batch.column(length).type)
+                yield pa.RecordBatch.from_arrays([made[c] for c in names], names=names)
 
     names = [f"c{i}" for i in range(len(columns))]
     schema = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))

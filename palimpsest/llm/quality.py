@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.arrow import small_batches, steps, unused, utf8
+from palimpsest.llm.arrow import small_batches, steps, utf8
 
 #: Documents of each label that are learned from, and lines of each: the bounds of the sample.
 DOCUMENTS, LINES = 1200, 64
@@ -338,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, documents: int = DO
     below = F.coalesce(*[F.when(F.col("quality") == k, min(1.0, documents / n)) for k, n in counts.items()], F.lit(0.0))
     # the sample has a bounded number of ids, so it may be sent to every executor
     picked = known.where(share < below).orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * documents)
-    rows = small_batches(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.col("text").cast("string").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
@@ -369,16 +369,17 @@ def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col
     gives one row, and an empty table none. Where nothing was learned every score is 0.5.
     """
     keep = [id_col] if keep is None else keep
-    text = text_col if text_col in keep else unused("text", [*keep, name])
-    slim = small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), *([] if text_col in keep else [F.col(f"`{text_col}`").cast("string").alias(text)]))
-    schema = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes if c in keep)
+    own = [f"c{i}" for i in range(len(keep))]  # names that Arrow functions take, whatever the columns are called
+    text = own[keep.index(text_col)] if text_col in keep else "text"
+    slim = small_batches(docs).select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, own, strict=True)), *([] if text_col in keep else [F.col(f"`{text_col}`").cast("string").alias(text)]))
+    schema = "".join(f"{c} {t}, " for c, t in slim.dtypes if c in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
             found = np.full(batch.num_rows, 0.5) if chain is None else score_documents(chain, *utf8(batch.column(text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found)], names=[*own, "score"])
 
-    return slim.mapInArrow(run, f"{schema}, `{name}` double")
+    return slim.mapInArrow(run, f"{schema}score double").toDF(*keep, name)
 
 
 def learnable() -> Column:

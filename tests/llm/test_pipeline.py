@@ -32,7 +32,7 @@ def test_one_document_of_each_group_stays(outputs):
     from palimpsest.llm.jaccard import jaccard_components
 
     _, before, after = outputs[2]
-    groups = jaccard_components(before.sparkSession, before).collect()
+    groups = jaccard_components(before.sparkSession, before, size=P.SHINGLE, percent=P.SIMILAR).collect()
     assert sorted(r["doc_id"] for r in after.collect()) == sorted({r["component_id"] for r in groups})
 
 
@@ -68,11 +68,34 @@ def test_run_gives_the_last_stage(spark, sf, outputs):
     assert P.run(spark, sf).agg({"length": "sum"}).first()[0] == outputs[4][2].agg({"length": "sum"}).first()[0]
 
 
-def test_stages_take_odd_rows_and_empty_tables(spark, sf):
-    for rows in (documents(spark, extra=False), nothing(spark).select("doc_id", "text", "lang", "source", "n_chars")):
-        docs = rows
-        for _, stage in P.STAGES:
-            docs = stage(spark, docs, sf)
-            docs.collect()
-            if "text" not in docs.columns:
-                break
+#: Columns that a table may have beside those of documents, among them names that stages use inside.
+CLASH = ["lang_pred", "sure", "score", "letter", "__lang", "__sure", "__letter", "__quality", "quality", "a.b", "component", "node", "row", "token", "spans", "passes", "_at", "source_size", "_id", "f1", "n", "text_"]
+
+
+def odd(spark, rows):
+    from pyspark.sql import functions as F
+
+    frame = documents(spark, rows, extra=False)
+    return frame.select("*", *(F.lit("clash").alias(c) for c in CLASH))
+
+
+@pytest.mark.parametrize("which", ["odd", "empty", "long"])
+def test_stages_take_odd_rows_and_clashing_columns(spark, sf, which):
+    """Each stage on its own rows: all but the last keep the columns, and what they keep they keep unchanged."""
+    from cases import ROWS
+
+    rows = {"odd": ROWS, "empty": [], "long": [*ROWS, (20, "\n" * 300_000, "en", "a"), (21, "word " * 100_000, "en", "a"), (20, "other text " * 9, None, None)]}[which]
+    docs = odd(spark, rows)
+    for name, stage in P.STAGES:
+        made = stage(spark, docs, sf)
+        kept = made.collect()
+        if name == "pack":
+            assert sum(r["length"] for r in kept) == sum(r["doc_tokens"] for r in kept if r["start"] == 0)
+            continue
+        assert made.columns == docs.columns, name
+        assert {r["a.b"] for r in kept} <= {"clash"}
+        if name != "mix":
+            assert all((r["doc_id"], r["text"], r["lang"], r["source"]) in rows for r in kept), name
+        if name == "near_duplicates":
+            want = [r for r in rows if not (r[1] or "").strip()] + list({tuple((r[1] or "").lower().split()): r for r in reversed(rows) if (r[1] or "").strip()}.values())
+            assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(((r[0], r[1]) for r in want), key=repr)
