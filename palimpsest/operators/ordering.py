@@ -42,8 +42,9 @@ def _running(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Recor
         starts = np.flatnonzero(fresh)
         upto = np.cumsum(amount) - amount
         run = np.searchsorted(starts, np.arange(n), "right") - 1  # -1: the run that the batch before began
-        place = np.where(run < 0, np.arange(n) + rows, np.arange(n) - starts[run])
-        before = np.where(run < 0, upto + amounts, upto - upto[starts[run]])
+        begin = np.append(starts, 0)[run]
+        place = np.where(run < 0, np.arange(n) + rows, np.arange(n) - begin)
+        before = np.where(run < 0, upto + amounts, upto - upto[begin])
         rows, amounts = int(place[-1]) + 1, int(before[-1] + amount[-1])
         last = (column[n - 1].as_py(),)
         yield pa.RecordBatch.from_arrays(

@@ -195,8 +195,10 @@ def test_components(spark):
     assert connected_components(spark, frame.where("u < 0")).collect() == []
 
 
-def test_running_totals(spark):
+@pytest.mark.parametrize("batch", ["2", "7", "10000"])
+def test_running_totals(spark, batch):
     rng = random.Random(0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([0, 1, 5, None])) for i in range(300)]
     found = with_running_totals(spark, spark.createDataFrame(rows, "g string, k int, v int"), "g", ["k"], "v").collect()
     want, place = {}, {}
@@ -204,6 +206,7 @@ def test_running_totals(spark):
         assert (k, place.get(g, 0), want.get(g, 0)) in {(r["k"], r["position"], r["before"]) for r in found if r["g"] == g}
         want[g], place[g] = want.get(g, 0) + (v or 0), place.get(g, 0) + 1
     assert len(found) == 300
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_segmenters_by_hand():
