@@ -18,6 +18,9 @@ DOCUMENTS, WINDOWS, LEARNED = 400, 6, 64
 #: Hidden units of a direction, bytes of a window when predicting, and windows multiplied at once.
 UNITS, WINDOW, BATCH = 8, 128, 2048
 
+#: Languages whose counts are sent to every executor; more are joined by key.
+BROADCAST_LANGUAGES = 100_000
+
 #: The symbol after a window's last byte.
 PAD = 256
 
@@ -216,6 +219,7 @@ def sample_windows(docs: DataFrame, labels: Column, allowed: Column, id_col: str
         return [], []
     share = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
     # a label of few documents has all of them, so every label is learned
+    counts = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts
     picked = named.join(counts, "label").where(share * F.col("_n") < documents).select("id", "text", "label")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
