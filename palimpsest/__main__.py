@@ -11,7 +11,7 @@ import logging
 from pathlib import Path
 
 from palimpsest.plans import config
-from palimpsest.sources import sinks
+from palimpsest.sources import corpora, sinks
 
 
 def _session():
@@ -21,7 +21,9 @@ def _session():
 
 
 def _experiment(args) -> config.Experiment:
-    table = getattr(importlib.import_module(args.config), "EXPERIMENTS", None) if args.config else None
+    own = importlib.import_module(args.config) if args.config else None
+    table = getattr(own, "EXPERIMENTS", None)
+    corpora.place(getattr(own, "FILES", {}))
     return config.experiment(args.experiment, table).resolved()
 
 

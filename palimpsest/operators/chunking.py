@@ -38,8 +38,9 @@ def chunk(segments: DataFrame, enabled: bool = False, mode: str = MODE, window_w
     starts = F.expr("filter(sequence(0, _n - 1, _step), s -> (s = 0 OR s - _step + _window < _n) AND least(_n, s + _window) - s >= _least)")
     rows = rows.withColumn("_starts", F.when(F.col("_split"), starts).otherwise(F.array(F.lit(0))))
     keep = [c for c in segments.columns if c != "text"]
-    rows = rows.select("*", F.posexplode("_starts").alias("_idx", "_at"))
-    end = F.least(F.col("_n"), F.col("_at") + F.col("_window"))
-    name = F.concat(F.col("seg_id"), F.lit("__w"), F.col("_idx"), F.lit("_W"), F.col("_at"), F.lit("-"), end)
-    text = F.when(F.col("_split"), F.array_join(F.slice(F.col("_words"), F.col("_at") + 1, F.greatest(F.lit(0), end - F.col("_at"))), " ")).otherwise(F.col("text"))
-    return rows.select(*keep, text.alias("text"), F.when(F.col("_split"), name).otherwise(F.col("seg_id")).alias("leaf_id"), F.col("seg_id").alias("parent_id"))
+    # windows' texts are made before rows are multiplied, so that no row carries all of its segment's words
+    text = "IF(_split, array_join(slice(_words, at + 1, greatest(0, least(_n, at + _window) - at)), ' '), text)"
+    windows = F.expr(f"transform(_starts, at -> struct(at, least(_n, at + _window) AS past, {text} AS text))")
+    rows = rows.select(*keep, "_split", windows.alias("_windows")).select(*keep, "_split", F.posexplode("_windows").alias("_idx", "_at"))
+    name = F.concat(F.col("seg_id"), F.lit("__w"), F.col("_idx"), F.lit("_W"), F.col("_at.at"), F.lit("-"), F.col("_at.past"))
+    return rows.select(*keep, F.col("_at.text").alias("text"), F.when(F.col("_split"), name).otherwise(F.col("seg_id")).alias("leaf_id"), F.col("seg_id").alias("parent_id"))

@@ -30,9 +30,19 @@ def cut_endings(word: Column, endings: list[str] = ENDINGS, rounds: int = 3) ->
 def neighbour_counts(words: DataFrame, by: list[str], order: str = "pos", word: str = "word") -> DataFrame:
     """``w1, w2, n`` of neighbouring words within each ``by`` group, both ways round. Groups are lines or documents."""
     following = F.lead(word).over(Window.partitionBy(*by).orderBy(order))
-    pairs = words.select(F.col(word).alias("a"), following.alias("b")).where("b IS NOT NULL")
-    both = pairs.selectExpr("a AS w1", "b AS w2").union(pairs.selectExpr("b AS w1", "a AS w2"))
-    return both.groupBy("w1", "w2").agg(F.count("*").alias("n"))
+    return _both_ways(words.select(F.col(word).alias("a"), following.alias("b")).where("b IS NOT NULL"))
+
+
+def neighbours_in(rows: DataFrame, words: str) -> DataFrame:
+    """The same of an array of words in each row: neighbours are paired inside the array, so nothing is sorted."""
+    pair = F.expr(f"IF(size({words}) < 2, array(), transform(sequence(1, size({words}) - 1), i -> struct({words}[i - 1] AS a, {words}[i] AS b)))")
+    return _both_ways(rows.select(F.inline(pair)))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each direction is counted from the counts of ordered pairs."""
+    once = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return once.select(F.col("a").alias("w1"), F.col("b").alias("w2"), "n").union(once.select("b", "a", "n")).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
 
 
 def word_counts(words: DataFrame, word: str = "word") -> DataFrame:

@@ -121,7 +121,7 @@ def corpus_pairs(left: Sequence[str], right: Sequence[str]) -> list[tuple[str, s
     return [(a, b) for a in left for b in right if a != b]
 
 
-def shortest_paths(spark: SparkSession, edges: DataFrame, rounds: int = 32) -> DataFrame:
+def shortest_paths(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``source, target, distance`` between all nodes of a small undirected graph, an edge being 1 / weight long.
 
     Distances to ever farther nodes are relaxed until none gets shorter; the graph is one of corpora, so the table is small.
@@ -130,7 +130,7 @@ def shortest_paths(spark: SparkSession, edges: DataFrame, rounds: int = 32) -> D
     found = step.selectExpr("a AS source", "b AS target", "d AS distance").union(step.selectExpr("a AS source", "a AS target", "CAST(0 AS DOUBLE) AS distance").distinct())
     nearest = lambda x: stored(spark, x.groupBy("source", "target").agg(F.min("distance").alias("distance")), "paths")
     found, seen = nearest(found), None
-    for _ in range(rounds):
+    while True:
         longer = found.join(step, found["target"] == step["a"]).select("source", F.col("b").alias("target"), (F.col("distance") + F.col("d")).alias("distance"))
         found = nearest(found.union(longer))
         now = found.agg(F.count("*"), F.round(F.sum("distance"), 9)).first()

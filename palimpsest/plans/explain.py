@@ -13,13 +13,10 @@ from palimpsest.operators import retrieval
 from palimpsest.plans.checkpoints import Stages
 from palimpsest.plans.config import Experiment
 
-#: Pairs in a report at most: it is read by people.
-MOST = 100
-
 
 def evidence(detail: DataFrame, leaves: DataFrame, exp: Experiment, top_k: int = 3, top_terms: int = 15) -> dict[str, DataFrame]:
     """Tables about the ``top_k`` best ranked pairs: shared terms, lemmas that give to each measure, and tokens of one side only."""
-    chosen = detail.orderBy("rank_final_position", "left_leaf_id", "right_leaf_id").limit(min(top_k, MOST))
+    chosen = detail.orderBy("rank_final_position", "left_leaf_id", "right_leaf_id").limit(top_k)
     keyed = chosen.select("rank_final_position", "left_corpus", "right_corpus", F.col("left_leaf_id").alias("left_id"), F.col("right_leaf_id").alias("right_id"))
     rows = M.enriched(keyed, leaves, ["lemmas", "text"])
     postings = retrieval.tfidf(leaves, "lemmas", *exp.model.ngram_range, exp.model.max_df, exp.model.min_df)

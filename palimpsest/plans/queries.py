@@ -5,6 +5,9 @@ Words are runs of a-z in lower-cased text here, so that both engines see the sam
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,18 +44,23 @@ def sql_set(values) -> str:
 )
 def scan_segments(spark, d):
     """Validated segments: outer blanks off, at least 20 characters."""
-    t = F.regexp_replace("text", r"^\s+|\s+$", "")
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).where(F.length("t") >= 20).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, t) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for _, t in segmenters.validate([] if text is None else [(str(i), text)], "documents")]
+            yield pd.DataFrame(rows, columns=["doc_id", "t"]).astype({"doc_id": "int64"})
+
+    kept = table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, t string")
+    return kept.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 @query(
     "clean_text",
-    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '\[[0-9]+\]', '', 'g'), '([a-z])-[ \n]+([a-z])', '\1\2', 'g'), '[ \n\t\r]+', ' ', 'g'))) AS cleaned FROM pages""",
+    r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '\[[0-9]+\]', '', 'g'), '([\pL\pM\pN_])-[\s\x0B\x85\pZ]+([\pL\pM\pN_])', '\1\2', 'g'), '[\s\x0B\x85\pZ]+', ' ', 'g'), ' ')) AS cleaned FROM pages""",
 )
 def clean_text(spark, d):
-    x = F.regexp_replace("html", r"\[[0-9]+\]", "")
-    x = F.regexp_replace(x, r"([a-z])-[ \n]+([a-z])", "$1$2")
-    return table(spark, d, "pages").select("page_id", F.md5(F.trim(F.regexp_replace(x, r"[ \n\t\r]+", " "))).alias("cleaned"))
+    return table(spark, d, "pages").select("page_id", F.md5(C.clean_text(F.col("html"))).alias("cleaned"))
 
 
 @query("word_tokens", r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents""")
@@ -65,14 +73,12 @@ def squash_marks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(C.squash(F.col("text"))).alias("squashed"))
 
 
-@query(
-    "tokens",
-    r"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F]', '', 'g'), '[a-z]+(?:''[a-z]+)?|\d+') AS t FROM documents)""",
-)
+TOKEN_SQL = L.TOKEN.replace("'", "''")
+
+
+@query("tokens", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(text, '(?i){TOKEN_SQL}') AS t FROM documents)")
 def tokens(spark, d):
-    ascii_only = F.regexp_replace(F.lower("text"), r"[^\x00-\x7F]", "")
-    found = F.regexp_extract_all(ascii_only, F.lit(r"[a-z]+(?:'[a-z]+)?|\d+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", found.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", C.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
 ENCLITIC_SQL = f"""list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: CASE
@@ -149,12 +155,12 @@ SELECT doc_id, latin, romance, noise, CASE
 
 @query("detect_mode", MODE_SQL)
 def detect_mode(spark, d):
-    """Each document's scores and language mode, its words' points added up per distinct word."""
-    t = table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w"))
+    """Each document's scores and language mode. Words are scored once each, and their points added up by document."""
+    counted = stored(spark, table(spark, d, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n")), "words-of-documents")
     w = F.col("w")
     odd = F.when(C.noise_token(w), 10.0).otherwise(0.0) + F.when(C.apparatus_like(w), 5.0).otherwise(0.0) + F.when((F.length(w) >= 8) & (C.vowels(C.graphic(w)) <= 1), 5.0).otherwise(0.0)
-    counted = t.groupBy("doc_id", "w").agg(F.count("*").alias("n")).select("doc_id", "n", C.latin_shape(w).alias("la"), C.romance_points(w).alias("ro"), odd.alias("no"))
-    total = counted.groupBy("doc_id").agg(
+    scored = stored(spark, counted.select("w").distinct().select("w", C.latin_shape(w).alias("la"), C.romance_points(w).alias("ro"), odd.alias("no")), "scored-words")
+    total = counted.join(scored, "w").groupBy("doc_id").agg(
         F.round(F.sum(F.col("la") * F.col("n")), 3).alias("latin"), F.round(F.sum(F.col("ro") * F.col("n")), 3).alias("romance"), F.round(F.sum(F.col("no") * F.col("n")) / F.sum("n"), 3).alias("noise")
     )
     return total.withColumn("mode", C.mode(F.col("latin"), F.col("romance"), F.col("noise")))
@@ -196,14 +202,14 @@ def preprocess(spark, d):
 
 
 LEGACY = "w"
-for _ in range(1):
+for _ in range(3):
     for _ending in cooccurrence.ENDINGS:
         LEGACY = f"regexp_replace({LEGACY}, '{_ending}$', '')"
 
 
 @query("legacy_endings", f"SELECT w AS word, {LEGACY.replace('(w,', '(replace(replace(w, chr(117), chr(118)), chr(106), chr(105)),', 1)} AS stem FROM ({VOCABULARY})")
 def legacy_endings(spark, d):
-    return vocabulary(spark, d).select(F.col("w").alias("word"), cooccurrence.cut_endings(F.col("w"), rounds=1).alias("stem"))
+    return vocabulary(spark, d).select(F.col("w").alias("word"), cooccurrence.cut_endings(F.col("w")).alias("stem"))
 
 
 @query("roman_values", "SELECT CAST(p_size AS BIGINT) AS value, count(*) AS n FROM part GROUP BY p_size")
@@ -365,7 +371,8 @@ def top_per_right(spark, d):
 
 @query("threshold_join", f"WITH {SIM_SQL} SELECT left_corpus, right_corpus, left_id, right_id, cos_sim FROM s WHERE cos_sim >= 0.05")
 def threshold_join(spark, d):
-    return found_pairs(spark, d).where("cos_sim >= 0.05")
+    pairs = [("benchmark", x) for x in sources(spark, d) if x != "src5"]
+    return retrieval.threshold_candidates(weights(spark, d), retrieval.pairs_frame(spark, pairs), 0.05).withColumn("cos_sim", F.round("cos_sim", 9))
 
 
 @query("global_heap", f"WITH {SIM_SQL} SELECT left_id, right_id, cos_sim FROM s ORDER BY cos_sim DESC, left_id, right_id LIMIT 200")
@@ -736,13 +743,12 @@ NEIGHBOURS_SQL = "t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[
 
 
 def neighbours(spark, d) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    return cooccurrence.neighbour_counts(t, ["doc_id"])
+    return cooccurrence.neighbours_in(table(spark, d, "documents").select(words(F.col("text")).alias("words")), "words")
 
 
-@query("cooccurrence", f"WITH {NEIGHBOURS_SQL} SELECT w1, w2, n FROM c WHERE n >= 10")
+@query("cooccurrence", f"WITH {NEIGHBOURS_SQL} SELECT w1, w2, n FROM c")
 def cooccurrence_counts(spark, d):
-    return neighbours(spark, d).where("n >= 10")
+    return neighbours(spark, d)
 
 
 @query("strongest_pairs", f"WITH {NEIGHBOURS_SQL} SELECT least(w1, w2) AS a, greatest(w1, w2) AS b, max(n) AS n FROM c GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 50")

@@ -12,32 +12,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Corpus, file, kind, display name, colour.
+#: Corpus, kind, display name, colour.
 TABLE = """
-CorpusJuris | Corpus_Juris_Civilis_v2.txt | latin_source | Свод\\nЮстиниана | #d62728
-Evangelium | Evangelium_v2.txt | latin_source | Евангелие\\n(Вульгата) | #1f77b4
-LexVisigothorum | Lex_visigothorum_lat-1.txt | latin_source | Вестготская\\nправда | #9467bd
-ExceptPetri | Exeptionis_Legum_Romanorum_Petri_v4.txt | latin_source | Составленные Петром \\nизвлечения из римских законов | #ff7f0e
-Etymologiae | Isidori_Hispalensis_Episcopi_Etymologiarum_v2.txt | latin_source | Этимологии\\nИсидора | #2ca02c
-CostumsDeTortosa | ObychaiTortosy1272to1279_v2.txt | catalan_source | Обычаи\\nТортосы | #8c564b
-CostumsDeLleida | ObychaiLleidy12271228_v2.txt | catalan_source | Обычаи\\nЛьейды | #e377c2
-ConstitucionesBaiulieMirabeti | ObychaiMiraveta1319Fix_v2.txt | catalan_source | Обычаи\\nМиравета | #7f7f7f
-CostumsDeOrta | ObychaiOrty1296_v2.txt | catalan_source | Обычаи\\nОрты | #bcbd22
-RecognovrentProceres | RecognovrentProceres12831284_v2.txt | catalan_source | Recognovrent\\nProceres | #17becf
-CostumresDeTarrega | ObychaiTarregi1290E_v2.txt | catalan_source | Обычаи\\nТарреги | #aec7e8
-CostumsDeValdAran | ObychaiValdArana1313_v2.txt | catalan_source | Обычаи\\nВаль-д’Арана | #98df8a
-PragmaticaJaimeII1295 | PragmatikaZhaumeII1295_v2.txt | catalan_source | Прагматика\\nЖауме II (1295) | #ff9896
-PragmaticaJaimeII1301 | PragmatikaZhaumeII1301_v2.txt | catalan_source | Прагматика\\nЖауме II (1301) | #c5b0d5
-Acta911 | Gramoty911.txt | charters | Грамоты\\nIX–XI вв. | #2c7fb8
-Acta12 | Gramoty12.txt | charters | Грамоты\\nXII в. | #f03b20
-UsatgesBarcelona | Bastardas_Usatges_de_Barcelona_djvu.txt | usatges | Барселонские\\nОбычаи  | #17becf
-CostumsDePerpinya | Customs_of_Perpignan_v2.txt | catalan_source | Обычаи\\nПерпиньяна | #6b1fb1
+CorpusJuris | latin_source | Свод\\nЮстиниана | #d62728
+Evangelium | latin_source | Евангелие\\n(Вульгата) | #1f77b4
+LexVisigothorum | latin_source | Вестготская\\nправда | #9467bd
+ExceptPetri | latin_source | Составленные Петром \\nизвлечения из римских законов | #ff7f0e
+Etymologiae | latin_source | Этимологии\\nИсидора | #2ca02c
+CostumsDeTortosa | catalan_source | Обычаи\\nТортосы | #8c564b
+CostumsDeLleida | catalan_source | Обычаи\\nЛьейды | #e377c2
+ConstitucionesBaiulieMirabeti | catalan_source | Обычаи\\nМиравета | #7f7f7f
+CostumsDeOrta | catalan_source | Обычаи\\nОрты | #bcbd22
+RecognovrentProceres | catalan_source | Recognovrent\\nProceres | #17becf
+CostumresDeTarrega | catalan_source | Обычаи\\nТарреги | #aec7e8
+CostumsDeValdAran | catalan_source | Обычаи\\nВаль-д’Арана | #98df8a
+PragmaticaJaimeII1295 | catalan_source | Прагматика\\nЖауме II (1295) | #ff9896
+PragmaticaJaimeII1301 | catalan_source | Прагматика\\nЖауме II (1301) | #c5b0d5
+Acta911 | charters | Грамоты\\nIX–XI вв. | #2c7fb8
+Acta12 | charters | Грамоты\\nXII в. | #f03b20
+UsatgesBarcelona | usatges | Барселонские\\nОбычаи  | #17becf
+CostumsDePerpinya | catalan_source | Обычаи\\nПерпиньяна | #6b1fb1
 """
 
 CORPORA: dict[str, dict[str, str]] = {}
 for _line in TABLE.strip().splitlines():
-    _corpus, _path, _kind, _display, _color = _line.split(" | ")
-    CORPORA[_corpus] = {"path": f"data/{_path}", "kind": _kind, "display": _display.replace("\\n", "\n"), "color": _color}
+    _corpus, _kind, _display, _color = _line.split(" | ")
+    CORPORA[_corpus] = {"path": f"data/{_corpus}.txt", "kind": _kind, "display": _display.replace("\\n", "\n"), "color": _color}
 
 #: Groups, in order.
 GROUPS: dict[str, list[str]] = {
@@ -50,6 +50,12 @@ GROUPS: dict[str, list[str]] = {
 }
 
 
+def place(files: Mapping[str, str]) -> None:
+    """Where corpora's files are, for those that aren't in data/ under the corpus' own name."""
+    for corpus, path in files.items():
+        CORPORA.setdefault(corpus, {"kind": "", "display": corpus, "color": "#999999"})["path"] = path
+
+
 def resolve(items: Sequence[str], groups: Mapping[str, Sequence[str]] | None = None) -> list[str]:
     """Names with ``@GROUP`` as its members; a group that isn't known has none."""
     groups = GROUPS if groups is None else groups
