@@ -221,7 +221,17 @@ def test_segmenters_by_hand():
     got = S.segment_text(f"[I]\n[1] {body}\n[60 bis] {body}\n[1] again {body}\nExpliciunt consuetudines civitatis Ilerde.\nrest", "CostumsDeLleida")
     assert [k for k, _ in got] == ["CostumsDeLleida_1", "CostumsDeLleida_60bis"]
     got = S.segment_text(f"Liber primus\nI.1. De legibus\nI.1.1. ANTIQUA. {body}\nI.1.2(3). {body}\nI.9.9. {body}", "LexVisigothorum")
-    assert [k for k, _ in got] == ["LexVisigothorum_1.1.2(3)", "LexVisigothorum_1.1.1", "LexVisigothorum_1.1.3"] or [k for k, _ in got] == ["LexVisigothorum_1.1.1", "LexVisigothorum_1.1.2(3)", "LexVisigothorum_1.1.3"]
+    assert [k for k, _ in got] == ["LexVisigothorum_1.1.1", "LexVisigothorum_1.1.2(3)", "LexVisigothorum_1.1.3"]
+    got = S.segment_text(
+        f"Liber primus\nI.1. De legibus\nI.1.1. ANTIQUA. {body}\n.1.2. {body} x\n(I.1.4) NOVELLA {body}\nLiber secundus\nII.1. Titulus\n11.1.5. FLAVIUS rex REX. De titulo breui. Si quis {body}\n\\|II.2.3. {body}\n12\nog x\nFragmenta Parisina\nII.1.7. {body}", "LexVisigothorum"
+    )
+    assert [k.split("_")[1] for k, _ in got] == ["1.1.1", "1.1.2", "1.1.4", "2.1.5", "2.1.7", "2.2.3"] and got[3][1].startswith("Si quis De rebus")
+    got = S.segment_text(
+        f"x\n1 (us. 1)\nVSATICVM {body}\nPHN om. x\n2 (us. 2)\nIudicium {body}\n3\n(us. 3-4)\nCum {body} uel- \naliud\n12 VSATICI\nmore [3] text\n(us. 9)\nABCD {body}\n(us. 10)\nlower {body}\n2 (us. 2)\nagain {body}\n" + "pad\n" * 60 + f"APENDIX A\nA1 (us. 77)\nItem {body}\nB2 (us. 2)\nItem {body}\nObservacions\nrest", "UsatgesBarcelona"
+    )
+    assert [k for k, _ in got] == ["Us_1", "Us_2", "Us_3-4", "Us_9", "Us_77"] and dict(got)["Us_3-4"].endswith("uelaliud more  text")
+    got = S.segment_text(f"Titel: x\nLIBER PRIMVS\nDe aliqua re ca. II.\n{body}\nLIBER SECVNDVS\nDe x ca. IIII\n{body}\nDe x ca. IIII\nshort\nTRACTATVS DE ACTIONVM\nDe y ca. V\n{body}", "ExceptPetri")
+    assert [k for k, _ in got] == ["ExceptPetri_1.2", "ExceptPetri_2.4"] and body in got[1][1]
     got = S.segment_text(f"x\n1 (us. 1)\nVSATICVM {body}\nPHN om. x\n2 (us. 2)\nIudicium {body}\n", "UsatgesBarcelona")
     assert [k for k, _ in got] == ["Us_1", "Us_2"]
     got = S.segment_text(f"LIBER PRIMVS\nDe aliqua re ca. II.\n{body}\nDe altera re\ncapitulum tertium\n{body}", "ExceptPetri")
