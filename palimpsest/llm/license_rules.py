@@ -203,8 +203,9 @@ notice | 4 | spdx | spdx license identifier
 """
 
 #: A character of a word, and one that belongs to none.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: What separates words: all of ASCII but letters and digits, one by one, as a set of single characters is matched far faster than ranges.
+_BETWEEN = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+WORD, GAP = f"[^{_BETWEEN}]", f"[{_BETWEEN}]"
 
 
 @dataclass(frozen=True)

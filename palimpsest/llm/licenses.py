@@ -29,36 +29,54 @@ def stems(found: list[Rule]) -> list[str]:
     return picked
 
 
+#: Items that a scan holds together: lists grow block by block, so that a long one isn't copied for each of its items.
+BLOCK = 512
+
+
+def scanned(items: str, state: str, then: str, when: str, span: str) -> str:
+    """SQL that goes over an array in order: spans of the items ``x`` for which ``when`` holds, with a state ``one.st`` that ``then`` carries on."""
+    return f"""
+      aggregate(sequence(0, greatest(0, (size({items}) - 1) div {BLOCK})),
+        struct({state} AS st, CAST(array() AS array<{SPAN}>) AS out),
+        (acc, b) -> aggregate(slice({items}, b * {BLOCK} + 1, {BLOCK}),
+          struct(acc.st AS st, CAST(array() AS {SPAN}) AS out),
+          (one, x) -> struct({then} AS st, IF({when}, concat(one.out, array({span})), one.out) AS out),
+          one -> struct(one.st AS st, concat(acc.out, array(one.out)) AS out)),
+        acc -> flatten(acc.out))"""
+
+
 def _spans() -> str:
     """SQL for all detections in ``_text``: of every rule whose keywords ``_low`` has, where its pattern matches.
 
     The pieces between the matches give their places: splitting and
     extracting by one pattern find the same matches.
     """
+    found = scanned(
+        "hits",
+        "0",
+        "one.st + coalesce(length(x.piece), 0) + coalesce(length(x.hit), 0)",
+        "x.hit IS NOT NULL",
+        "struct(one.st + length(x.piece) AS begin, one.st + length(x.piece) + length(x.hit) AS past, r.priority AS priority, r.place AS place, r.label AS label)",
+    )
+    # an array of one binds what is looked at block by block; the pieces are only made where there are hits
     return f"""
       flatten(transform(filter(_rules, r -> forall(r.keywords, k -> contains(_low, k))), r ->
-        aggregate(
-          zip_with(split(_text, r.pattern, -1), regexp_extract_all(_text, r.pattern, 0), (piece, hit) -> struct(piece, hit)),
-          struct(0 AS at, CAST(array() AS {SPAN}) AS spans),
-          (acc, x) -> struct(
-            acc.at + coalesce(length(x.piece), 0) + coalesce(length(x.hit), 0) AS at,
-            IF(x.hit IS NULL, acc.spans, concat(acc.spans, array(struct(
-              acc.at + length(x.piece) AS begin, acc.at + length(x.piece) + length(x.hit) AS past,
-              r.priority AS priority, r.place AS place, r.label AS label)))) AS spans),
-          acc -> acc.spans)))"""
+        flatten(transform(filter(array(regexp_extract_all(_text, r.pattern, 0)), y -> size(y) > 0), y ->
+          flatten(transform(array(zip_with(split(_text, r.pattern, -1), y, (piece, hit) -> struct(piece, hit))), hits -> {found}))))))"""
 
 
 #: SQL that keeps, of ``_found``, what no detection of the same or a higher priority contains. In order of begin, then of
-#: falling end, priority and place, whatever contains a span comes before it; ``reach`` is how far the spans so far go, by priority.
+#: falling end, priority and place, whatever contains a span comes before it; ``one.st`` is how far the spans so far go, by priority.
 KEEP = f"""
-  aggregate(
-    array_sort(transform(_found, x -> struct(x.begin AS begin, -x.past AS back, x.priority AS priority, x.place AS place, x.label AS label))),
-    struct(array(-1, -1, -1, -1) AS reach, CAST(array() AS {SPAN}) AS kept),
-    (acc, x) -> struct(
-      transform(acc.reach, (m, i) -> IF(i + 1 >= x.priority, greatest(m, -x.back), m)) AS reach,
-      IF(acc.reach[x.priority - 1] >= -x.back, acc.kept, concat(acc.kept, array(struct(
-        x.begin AS begin, -x.back AS past, x.priority AS priority, x.place AS place, x.label AS label)))) AS kept),
-    acc -> acc.kept)"""
+  flatten(transform(array(array_sort(transform(_found, x -> struct(x.begin AS begin, -x.past AS back, x.priority AS priority, x.place AS place, x.label AS label)))), ordered -> {
+    scanned(
+        "ordered",
+        "array(-1, -1, -1, -1)",
+        "transform(one.st, (m, i) -> IF(i + 1 >= x.priority, greatest(m, -x.back), m))",
+        "one.st[x.priority - 1] < -x.back",
+        "struct(x.begin AS begin, -x.back AS past, x.priority AS priority, x.place AS place, x.label AS label)",
+    )
+}))"""
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: list[Rule] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import re
 
 from cases import ROWS, documents, nothing
+from pyspark.sql import functions as F
 
 from palimpsest.llm import licenses as S
 from palimpsest.llm import license_rules as R
@@ -60,3 +61,15 @@ def test_empty_table_and_native_plan(spark):
     assert S.scan_licenses(nothing(spark)).collect() == []
     plan = S.scan_licenses(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange", plan)
+
+
+def test_many_hits_in_one_text(spark):
+    """Whole blocks of hits, nested ones among them, and a text of nothing but hits within seconds."""
+    import time
+
+    text = "GNU General Public License v2.0, mit license " * 700 + "gpl " * 700
+    found = S.scan_licenses(documents(spark, [(1, text, None, None)], extra=False)).drop("spans").collect()
+    assert [tuple(r)[1:] for r in found] == [brute(text)]
+    began = time.perf_counter()
+    [row] = S.scan_licenses(documents(spark, [(1, "gpl " * 250_000, None, None)], extra=False)).select("n_words", F.size("spans").alias("n")).collect()
+    assert tuple(row) == (250_000, 250_000) and time.perf_counter() - began < 60
