@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.ordering import with_running_totals
 from palimpsest.workspace import stored
 
 #: Bits of the key that one round of probes resolves, and how far a shard may be from its equal share of the bytes.
 DIGIT, TOLERANCE = 12, 0.002
 
+#: How far a piece of a shard may be from its equal share of the shard.
+ROUGH = 0.5
+
 #: A key is two unsigned 64-bit numbers: a hash of the text, so that equal texts are neighbours, and one of the id.
 KEY = ("_k1", "_k2")
 TOP = 1 << 64
@@ -23,12 +23,9 @@ def _signed(x: int) -> int:
     return x - (1 << 63)
 
 
-def _below(splitter: tuple[int, int]) -> Column:
-    """Whether a row's key is below the splitter."""
-    a, b = (F.lit(_signed(min(x, TOP - 1))) for x in splitter)
-    if splitter[0] >= TOP:
-        return F.lit(True)
-    return (F.col("_k1") < a) | ((F.col("_k1") == a) & (F.col("_k2") < b))
+def _long(x: int) -> str:
+    """The signed number of an unsigned one, in SQL."""
+    return f"cast('{_signed(x)}' AS bigint)"
 
 
 def _histogram(table: DataFrame, ranges: list[tuple[int, int, int | None]]) -> dict[tuple[int, int], int]:
@@ -49,8 +46,8 @@ def _histogram(table: DataFrame, ranges: list[tuple[int, int, int | None]]) -> d
     return {(r["at"]["range"], r["at"]["probe"]): r["bytes"] for r in counted.collect()}
 
 
-def find_splitters(table: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
-    """``shards - 1`` keys with near-equal bytes of ``size`` between them.
+def find_splitters(table: DataFrame, shards: int, tolerance: float = TOLERANCE, pieces: int = 1) -> list[tuple[int, int]]:
+    """``shards * pieces - 1`` keys with near-equal bytes of ``size`` between them; those inside a shard only roughly so.
 
     Every round counts the exact bytes below evenly spaced probes inside the
     interval that still holds each splitter's target, and narrows it to the
@@ -60,15 +57,15 @@ def find_splitters(table: DataFrame, shards: int, tolerance: float = TOLERANCE)
     only where tolerance asks for it.
     """
     total = table.agg(F.sum("size")).first()[0] or 0
-    allowed = total / shards * tolerance / 2
+    allowed = [total / shards * (ROUGH / pieces if j % pieces else tolerance) / 2 for j in range(shards * pieces)]
     # for each splitter: lowest value, width and text of its interval, and the bytes below it
-    open_at = {j: (0, TOP, None, 0) for j in range(1, shards)}
+    open_at = {j: (0, TOP, None, 0) for j in range(1, shards * pieces)}
     found: dict[int, tuple[int, int]] = {}
     while open_at and total:
         ranges = sorted({x[:3] for x in open_at.values()}, key=lambda x: (x[0], x[1], x[2] or 0))
         sums = _histogram(table, ranges)
         for j, (low, width, text, below) in list(open_at.items()):
-            k, step, target = ranges.index((low, width, text)), max(1, width >> DIGIT), total * j / shards
+            k, step, target = ranges.index((low, width, text)), max(1, width >> DIGIT), total * j / (shards * pieces)
             for probe in range(width // step):
                 inside = sums.get((k, probe), 0)
                 if below + inside >= target:
@@ -76,7 +73,7 @@ def find_splitters(table: DataFrame, shards: int, tolerance: float = TOLERANCE)
                 below += inside
             begin = low + probe * step
             near, bytes_off = min((begin, target - below), (begin + step, below + inside - target), key=lambda x: x[1])
-            if bytes_off <= allowed or (text is not None and step == 1):
+            if bytes_off <= allowed[j] or (text is not None and step == 1):
                 if text is None:
                     found[j] = (near, 0)
                 else:
@@ -86,7 +83,7 @@ def find_splitters(table: DataFrame, shards: int, tolerance: float = TOLERANCE)
                 open_at[j] = (0, TOP, begin, below)
             else:
                 open_at[j] = (begin, step, text, below)
-    return [found.get(j, (TOP, 0)) for j in range(1, shards)]
+    return [found.get(j, (TOP, 0)) for j in range(1, shards * pieces)]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +105,8 @@ def histogram_shards(
 
     Returns the id, ``size``, ``text_crc32``, ``shard`` and the row's gapless
     ``slot`` in its shard. Texts are read once, for a narrow table of hashes and
-    sizes that the rounds count over and that is exchanged once; the text stays out of it.
+    sizes that the rounds count over; the text stays out of it. The splitters also cut every shard into pieces, one for each task,
+    and the one exchange sends every row to its piece's partition.
 
     Null texts count as empty. Equal texts stay together in one shard unless the
     tolerance needs a cut, which then falls between ids; rows equal in id and
@@ -116,10 +114,22 @@ def histogram_shards(
     and other columns are ignored. Reruns agree.
     """
     table = stored(spark, keyed(docs, id_col, text_col), "keyed")
-    splitters = find_splitters(table, shards, tolerance)
-    shard = reduce(lambda a, b: a + b, [F.when(_below(s), 0).otherwise(1) for s in splitters], F.lit(0))
-    placed = table.withColumn("shard", shard.cast("int"))
-    return with_running_totals(spark, placed, "shard", [*KEY, id_col], position="slot").drop(*KEY)
+    pieces = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    splitters = [x for x in find_splitters(table, shards, tolerance, pieces) if x[0] < TOP]
+    held = ", ".join(f"named_struct('a', {_long(a)}, 'b', {_long(min(b, TOP - 1))})" for a, b in splitters)
+    piece = F.expr(f"size(filter(array({held}), s -> s.a < _k1 OR (s.a = _k1 AND s.b <= _k2)))" if splitters else "0")
+    dealt = table.withColumn("_piece", piece).repartitionById(shards * pieces, "_piece").sortWithinPartitions("_piece", *KEY, id_col)
+    fixed = stored(spark, dealt.withColumn("_row", F.monotonically_increasing_id()), "sharded")
+    # a row for each piece, of which there are as many as tasks
+    counted = {r["_piece"]: (r["n"], r["first"]) for r in fixed.groupBy("_piece").agg(F.count("*").alias("n"), F.min("_row").alias("first")).collect()}
+    offsets, slot = [], 0
+    for k in range(shards * pieces):
+        slot = 0 if k % pieces == 0 else slot
+        n, first = counted.get(k, (0, 0))
+        offsets.append((k, k // pieces, slot - first))
+        slot += n
+    placed = fixed.join(F.broadcast(spark.createDataFrame(offsets, "_piece int, shard int, _shift long")), "_piece")
+    return placed.select(id_col, "size", "text_crc32", "shard", (F.col("_row") + F.col("_shift")).alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a shard, queries of a block, queries multiplied at once, and lists that one merge takes.
-SHARD, BLOCK, STRIP, FAN = 8192, 2048, 256, 8
+SHARD, BLOCK, STRIP, FAN = 8192, 8192, 256, 8
 
 LONG = (1 << 63) - 1
 
@@ -106,7 +106,11 @@ def top_k(
         return frame.where(fine).select(F.col(id_col).cast("long").alias(id_col), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("_v"))
 
     rows, asked = whole(vectors), whole(queries)
-    shards, blocks = max(1, -(-rows.count() // shard)), max(1, -(-asked.count() // block))
+    size = [x.agg(F.count("*"), F.max(F.array_max(F.transform("_v", lambda v: F.abs(v))))).first() for x in (rows, asked)]
+    shards, blocks = max(1, -(-size[0][0] // shard)), max(1, -(-size[1][0] // block))
+    largest = max(x[1] or 0 for x in size)  # components travel as the smallest type that holds them all
+    kind = "smallint" if largest < 1 << 15 else "int" if largest < 1 << 31 else "bigint"
+    rows, asked = (x.withColumn("_v", F.col("_v").cast(f"array<{kind}>")) for x in (rows, asked))
     place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(n)).cast("int")
     left = asked.withColumn("_block", place(1, blocks)).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = rows.withColumn("_shard", place(2, shards)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

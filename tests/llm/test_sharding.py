@@ -40,3 +40,23 @@ def test_edges(spark):
 def test_query_agrees_with_itself(spark, sf):
     one, two = (sorted(map(tuple, S.op7_sharding(spark, sf).collect()), key=repr) for _ in range(2))
     assert one == two and {r[3] for r in one} == {"bytes"}
+
+
+@pytest.mark.parametrize("hot", [0, 400])
+def test_shards_against_sorted_prefix_sums(spark, sf, hot):
+    """Splitters against exact sums below them, shards and slots against the whole table in order."""
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = documents(spark, rows + [(10_000 + i, "one text of many " * 9, "en", "a") for i in range(hot)], extra=False)
+    keys = sorted((r["_k1"], r["_k2"], r["doc_id"], r["size"]) for r in S.keyed(docs).collect())
+    total = sum(k[3] for k in keys)
+    splitters = S.find_splitters(S.keyed(docs), 8)
+    largest = max(k[3] for k in keys)
+    for j, (a, b) in enumerate(splitters, 1):
+        below = sum(k[3] for k in keys if (k[0] + (1 << 63), k[1] + (1 << 63)) < (a, b))
+        assert abs(below - total * j / 8) <= S.TOLERANCE * total / 8 / 2 + largest
+    want, upto = {}, {}
+    for k1, k2, doc, _ in keys:
+        shard = sum((a, b) <= (k1 + (1 << 63), k2 + (1 << 63)) for a, b in splitters)
+        want[doc] = (shard, upto.get(shard, 0))
+        upto[shard] = upto.get(shard, 0) + 1
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in S.histogram_shards(spark, docs).collect()} == want
