@@ -33,14 +33,20 @@ def chunk(segments: DataFrame, enabled: bool = False, mode: str = MODE, window_w
         return value
 
     on, window, overlap, least = setting("enabled", True), setting("window_words", window_words), setting("overlap_words", overlap_words), setting("min_words", min_words)
-    rows = segments.withColumns({"_words": C.words(F.col("text")), "_window": window, "_least": least, "_step": F.greatest(F.lit(1), window - F.greatest(F.lit(0), overlap)), "_on": on})
-    rows = rows.withColumn("_n", F.size("_words")).withColumn("_split", F.col("_on") & (F.col("_n") >= F.col("_least")) & (F.col("_n") > F.col("_window")))
-    starts = F.expr("filter(sequence(0, _n - 1, _step), s -> (s = 0 OR s - _step + _window < _n) AND least(_n, s + _window) - s >= _least)")
-    rows = rows.withColumn("_starts", F.when(F.col("_split"), starts).otherwise(F.array(F.lit(0))))
+    step = F.greatest(F.lit(1), window - F.greatest(F.lit(0), overlap))
+
+    def windows(w):
+        n = F.size(w)
+        split = on & (n >= least) & (n > window)
+        starts = F.filter(F.sequence(F.lit(0), n - 1, step), lambda s: ((s == 0) | (s - step + window < n)) & (F.least(n, s + window) - s >= least))
+        text = lambda at: F.array_join(F.slice(w, at + 1, F.greatest(F.lit(0), F.least(n, at + window) - at)), " ")
+        return F.transform(
+            F.when(split, starts).otherwise(F.array(F.lit(0))),
+            lambda at: F.struct(at.alias("at"), F.least(n, at + window).alias("past"), split.alias("split"), F.when(split, text(at)).otherwise(F.col("text")).alias("text")),
+        )
+
+    # an array of one binds the words, which are split once, and windows' texts are made before rows are multiplied
     keep = [c for c in segments.columns if c != "text"]
-    # windows' texts are made before rows are multiplied, so that no row carries all of its segment's words
-    text = "IF(_split, array_join(slice(_words, at + 1, greatest(0, least(_n, at + _window) - at)), ' '), text)"
-    windows = F.expr(f"transform(_starts, at -> struct(at, least(_n, at + _window) AS past, {text} AS text))")
-    rows = rows.select(*keep, "_split", windows.alias("_windows")).select(*keep, "_split", F.posexplode("_windows").alias("_idx", "_at"))
+    rows = segments.select(*keep, F.posexplode(F.flatten(F.transform(F.array(C.words(F.col("text"))), windows))).alias("_idx", "_at"))
     name = F.concat(F.col("seg_id"), F.lit("__w"), F.col("_idx"), F.lit("_W"), F.col("_at.at"), F.lit("-"), F.col("_at.past"))
-    return rows.select(*keep, F.col("_at.text").alias("text"), F.when(F.col("_split"), name).otherwise(F.col("seg_id")).alias("leaf_id"), F.col("seg_id").alias("parent_id"))
+    return rows.select(*keep, F.col("_at.text").alias("text"), F.when(F.col("_at.split"), name).otherwise(F.col("seg_id")).alias("leaf_id"), F.col("seg_id").alias("parent_id"))
