@@ -370,3 +370,18 @@ def test_library_stands_without_the_corpus_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[1]
     code = f"import sys, importlib.abc\nsys.path.insert(0, {str(root)!r})\nclass No(importlib.abc.MetaPathFinder):\n  def find_spec(self, name, path, target=None):\n    if name.startswith('palimpsest.llm') or name == 'corpus_pipeline':\n      raise ModuleNotFoundError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nq = e.queries()\nassert len(q) > 60 and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q)\nassert e.oracle_sql().keys() <= q.keys()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_the_gates_bound_is_as_written(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans.queries import scoring_gate
+    from palimpsest.plans.registry import ORACLES
+
+    parts = spark.createDataFrame([(10, 1000.0), (10, 1000.01), (22, 40.0), (None, 1000.0)], "p_size int, p_retailprice double")
+    for k, rows in enumerate((parts, parts.where("p_size IS NULL"))):
+        at = str(tmp_path / str(k))
+        rows.coalesce(1).write.parquet(f"{at}/part.parquet")
+        got = tuple(scoring_gate(spark, at).first())
+        assert got == duckdb.sql(ORACLES["scoring_gate"].replace("FROM part", f"FROM '{at}/part.parquet/*.parquet'")).fetchall()[0]
+        assert got == ((4, 1), (1, 0))[k]
