@@ -41,6 +41,11 @@ def top_corpus_pairs(candidates: DataFrame, n: int = 20) -> DataFrame:
     return candidates.groupBy("left_corpus", "right_corpus").agg(F.count("*").alias("pairs")).orderBy(F.desc("pairs"), "left_corpus", "right_corpus").limit(n)
 
 
+def most_pairs(counts: DataFrame, n: int = 20) -> DataFrame:
+    """``top_corpus_pairs`` of pairs that are counted already, in several rows of a corpus pair or one."""
+    return counts.groupBy("left_corpus", "right_corpus").agg(F.sum("pairs").alias("pairs")).orderBy(F.desc("pairs"), "left_corpus", "right_corpus").limit(n)
+
+
 def scoring_summary(rows: DataFrame, beta: float, threshold: float, share: float) -> DataFrame:
     """How many pairs a gate on the cheap measures would let through, and how they are distributed."""
     from palimpsest.operators.metrics import gate

@@ -69,3 +69,46 @@ def test_no_longer_terms(spark):
 def test_no_leaves(spark):
     p = postings.packed(spark.createDataFrame([], "side string, corpus string, leaf_id string, lemmas array<string>"))
     assert postings.rows(p).count() == 0 and postings.top_terms(p, 5, 9).count() == 0 and postings.similarities(p, [("a", "b")], 9).count() == 0
+
+
+@pytest.mark.parametrize("words,block_words", [(200, 40), (1 << 20, 1 << 16), (50, 1)])
+def test_pairs_are_counted_in_small_blocks(spark, odd, words, block_words, monkeypatch):
+    whole = postings.pair_counts
+    small = lambda leaves, pairs: whole(leaves.repartition(3), pairs, words=words, block_words=block_words, cells=30, products=50, held=100)
+    monkeypatch.setattr(postings, "pair_counts", small)
+    got, want = spark_rows(QUERIES["top_corpus_pairs"](spark, odd)), duck_rows(ORACLES["top_corpus_pairs"], odd)
+    assert got[1] and got == want
+
+
+@pytest.mark.parametrize("most,ids", [(0.5, 30), (0.5, None), (0.01, None), (1.0, None), (3, 30), (3, None), (40, None), (1000, 30)])
+def test_counted_pairs_are_those_with_a_similarity(spark, most, ids):
+    """On several left corpora, with words in every leaf and bounds by share and by number; leaves of several rows, or none of them."""
+    rng = random.Random(8)
+    word = lambda: "abcdefghijklmnopqrstuvwxyz"[min(25, int(rng.expovariate(0.2)))] * rng.randrange(1, 3)
+    rows = [(rng.choice(["left", "right"]), rng.choice(["u", "v", None]), str(rng.randrange(ids) if ids else i), ["all", *(word() for _ in range(rng.randrange(6)))]) for i in range(40)]
+    leaves = spark.createDataFrame(rows, "side string, corpus string, leaf_id string, lemmas array<string>").cache()
+    pairs = [("u", "u"), ("u", "v"), ("v", "v"), ("w", "u"), (None, "u")]
+    got = postings.pair_counts(leaves, pairs, max_df=most, words=30, block_words=10).groupBy("left_corpus", "right_corpus").agg(F.sum("pairs")).collect()
+    want = postings.similarities(postings.packed(leaves, max_df=most), pairs, 15).groupBy("left_corpus", "right_corpus").count().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_counting_pairs_keeps_nothing_of_right_leaves(spark, tmp_path, monkeypatch):
+    """Before, all texts were stored in chunks, and an answer for every distinct term."""
+    from palimpsest import workspace
+
+    monkeypatch.setattr(workspace, "workspace", lambda _: str(tmp_path / "kept"))
+    rng = random.Random(6)
+    docs = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(400)), f"src{i % 3}") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, docs[i][1][:40]) for i in range(5)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert QUERIES["top_corpus_pairs"](spark, str(tmp_path)).count() == 3
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet"))
+    assert size("kept") < size("documents.parquet") / 20
+
+
+def test_no_pairs_to_count(spark):
+    empty = spark.createDataFrame([], "side string, corpus string, leaf_id string, lemmas array<string>")
+    assert postings.pair_counts(empty, [("a", "b")]).count() == 0
+    with pytest.raises(ValueError):
+        postings.pair_counts(empty, [], high=3)
